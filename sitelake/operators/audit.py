@@ -38,7 +38,7 @@ def _flag(missing: Column) -> Column:
 
 
 def _positive(n: Column) -> Column:
-    return F.when(n > 0, n.cast("long"))
+    return F.nullif(n.cast("long"), F.lit(0).cast("long"))
 
 
 def title_check(shown: Column) -> Column:
@@ -102,10 +102,13 @@ def page_checks(shown: Column, html: Column, cfg: SiteConfig) -> dict[str, Colum
     }
 
 
-def _detail(code: str, n: Column) -> Column:
-    if code in DETAILS:
-        return F.lit(DETAILS[code])
-    return F.concat(n.cast("string"), F.lit(COUNTED_DETAILS[code]))
+def _detail(code: Column, n: Column) -> Column:
+    text = F.lit(None).cast("string")
+    for name, words in DETAILS.items():
+        text = F.when(code == name, words).otherwise(text)
+    for name, words in COUNTED_DETAILS.items():
+        text = F.when(code == name, F.concat(n.cast("string"), F.lit(words))).otherwise(text)
+    return text
 
 
 def page_findings(pages: DataFrame, cfg: SiteConfig, codes: tuple[str, ...] = CODES) -> DataFrame:
@@ -115,12 +118,10 @@ def page_findings(pages: DataFrame, cfg: SiteConfig, codes: tuple[str, ...] = CO
     """
     shown = pages.withColumn("shown", markup.visible_markup(F.col("html")))
     checks = page_checks(F.col("shown"), F.col("html"), cfg)
-    found = [
-        F.struct(F.lit(code).alias("code"), checks[code].alias("n"), _detail(code, checks[code]).alias("detail"))
-        for code in codes
-    ]
-    rows = shown.select("site", "page_path", F.inline(F.array(*found)))
-    return rows.filter("n is not null")
+    checked = shown.select("site", "page_path", *[checks[code].alias(code) for code in codes])
+    found = F.array(*[F.struct(F.lit(code).alias("code"), F.col(code).alias("n")) for code in codes])
+    rows = checked.select("site", "page_path", F.inline(found)).filter("n is not null")
+    return rows.withColumn("detail", _detail(F.col("code"), F.col("n")))
 
 
 # --- links ----------------------------------------------------------------------------------------
