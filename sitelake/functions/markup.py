@@ -57,10 +57,13 @@ def is_start(token: Column, name: str) -> Column:
     return F.regexp_like(token, F.lit(rf"(?i)^<{name}[\s/>]"))
 
 
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute of a start tag; empty if it is absent."""
-    pattern = rf"""{_ATTRIBUTES}{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return _unquoted(F.regexp_extract(tag, rf"{_ATTRIBUTES}{name}\s*=\s*({_VALUE})", 1))
 
 
 def has_attr(tag: Column, name: str) -> Column:
@@ -90,8 +93,7 @@ def attribute_name(item: Column) -> Column:
 
 
 def attribute_value(item: Column) -> Column:
-    pattern = r"""(?is)=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))$"""
-    return F.concat(*[F.regexp_extract(item, pattern, i) for i in (1, 2, 3)])
+    return F.regexp_replace(item, rf"""(?s)^[\s/]*{_NAME}(?:\s*=\s*)?["']?|["']$""", "")
 
 
 def with_value(item: Column, value: Column) -> Column:

@@ -72,17 +72,18 @@ def url_key(url: Column, base: Column) -> Column:
 
 def resolve_ref(ref: Column, page_url: Column, base: Column) -> Column:
     """A reference found on a page as absolute URL; NULL if it cannot be crawled."""
-    clean = without_fragment(ref)
-    joined = F.concat(folder_prefix(url_path(page_url)), clean)
-    slash = F.when(clean.endswith("/"), "/").otherwise("")
-    relative = F.concat(base, F.lit("/"), folded(joined), slash)
-    return (
-        F.when(clean.isNull() | F.regexp_like(clean, F.lit(fv.CRAWL_SKIPPED_SCHEMES)), F.lit(None))
-        .when(clean.startswith("//"), F.concat(F.lit("https:"), clean))
-        .when(F.regexp_like(clean, F.lit("(?i)^https?://")), clean)
-        .when(clean.startswith("/"), F.concat(base, clean))
-        .otherwise(relative)
-    )
+
+    def resolved(clean: Column) -> Column:
+        joined = F.concat(folder_prefix(url_path(page_url)), clean)
+        slash = F.when(clean.endswith("/"), "/").otherwise("")
+        return (
+            F.when(clean.startswith("//"), F.concat(F.lit("https:"), clean))
+            .when(clean.startswith("/"), F.concat(base, clean))
+            .when(F.regexp_like(clean, F.lit("(?i)^https?://")), clean)
+            .when(~F.regexp_like(clean, F.lit(fv.CRAWL_SKIPPED_SCHEMES)), F.concat(base, F.lit("/"), folded(joined), slash))
+        )
+
+    return bind(without_fragment(ref), resolved)
 
 
 def url_to_path(url: Column, content_type: Column | None = None) -> Column:
@@ -251,12 +252,8 @@ def leaves_site(path: Column) -> Column:
     return percent_decoded(path).contains("..")
 
 
-def is_crawlable(url: Column, site: Column, excludes: Column | None = None) -> Column:
+def is_crawlable(
+    host: Column, path: Column, query: Column, site: Column, excludes: Column | None = None
+) -> Column:
     """Internal, not denied, no feed, no page with a query. Cheap tests come first."""
-    path = url_path(url)
-    return (
-        (url_host(url) == site)
-        & ~denied(path, excludes)
-        & ~is_feed(path)
-        & ~is_query_page(path, url_query(url))
-    )
+    return (host == site) & ~denied(path, excludes) & ~is_feed(path) & ~is_query_page(path, query)

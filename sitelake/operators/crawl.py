@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
-from sitelake.functions.urls import is_crawlable, normal_url, url_key
+from sitelake.functions.urls import is_crawlable, url_parts
 from sitelake.session import cut_lineage, new_folder
 
 
@@ -31,11 +31,15 @@ def capture_split(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def crawlable(links: DataFrame, excludes: Column | None = None) -> DataFrame:
-    """Links (site, base, url, ...) that may be crawled, with the URL in its normal form."""
-    url = F.col("url")
-    return links.filter(is_crawlable(url, F.col("site"), excludes)).withColumns(
-        {"url": normal_url(url, F.col("base")), "url_key": url_key(url, F.col("base"))}
-    )
+    """Links (site, base, url, ...) that may be crawled, with the URL in its normal form and its key.
+
+    The URL is taken apart once, in a generator, so that the filters read plain columns.
+    """
+    parts = F.inline(F.transform(F.array("url"), lambda url: url_parts(url).dropFields("scheme")))
+    apart = links.select("*", parts)
+    allowed = apart.filter(is_crawlable(F.col("host"), F.col("path"), F.col("query"), F.col("site"), excludes))
+    normal = allowed.withColumn("url", F.concat("base", "path")).drop("host", "path", "query")
+    return normal.withColumn("url_key", F.md5("url"))
 
 
 def new_urls(found: DataFrame, seen: DataFrame) -> DataFrame:

@@ -115,12 +115,11 @@ def extract(rows: DataFrame, text: str, source: str, *keys: str) -> DataFrame:
 def discovered_refs(text: Column, kind: Column) -> Column:
     """All references of a captured text by its kind, as array of (source, ref)."""
 
+    def named(source: str) -> Column:
+        return F.transform(EXTRACTORS[source](text), lambda ref: F.struct(F.lit(source).alias("source"), ref.alias("ref")))
+
     def of_kind(name: str) -> Column:
-        parts = [
-            F.transform(EXTRACTORS[s](text), lambda ref, s=s: F.struct(F.lit(s).alias("source"), ref.alias("ref")))
-            for s in _BY_KIND[name]
-        ]
-        return F.concat(*parts)
+        return F.concat(*[named(source) for source in _BY_KIND[name]])
 
     refs = F.when(kind == "html", of_kind("html"))
     for name in ("css", "sitemap", "robots"):
@@ -137,7 +136,8 @@ def discovered_links(captures: DataFrame) -> DataFrame:
     resolved = F.when(F.col("source").isin(*_ABSOLUTE_ONLY), trimmed(F.col("ref"))).otherwise(
         resolve_ref(F.col("ref"), F.col("page_url"), F.col("base"))
     )
-    return found.withColumn("url", resolved).filter("url is not null")
+    # A generator rather than a projection and a filter: later filters cannot repeat the resolution.
+    return found.select("*", F.explode(F.filter(F.array(resolved), lambda url: url.isNotNull())).alias("url"))
 
 
 # --- references of real elements ------------------------------------------------------------------
@@ -149,24 +149,27 @@ def element_refs(html: Column) -> Column:
     Text in scripts, styles and comments is no element.
     """
 
-    def of_tag(tag: Column, pos: Column) -> Column:
-        def one(source: str, ref: Column) -> Column:
-            return F.struct(pos.alias("pos"), F.lit(source).alias("source"), ref.alias("ref"))
+    def of_attribute(item: Column, pos: Column) -> Column:
+        def refs(name: Column, value: Column) -> Column:
+            urls = F.when(name == "srcset", first_tokens(value)).otherwise(F.array(value))
+            return F.transform(urls, lambda url: F.struct(pos.alias("pos"), name.alias("source"), url.alias("ref")))
 
-        single = [
-            F.when(markup.has_attr(tag, name), F.array(one(name, entity_decode(markup.attr(tag, name)))))
-            .otherwise(F.array().cast("array<struct<pos:int,source:string,ref:string>>"))
-            for name in ("href", "src")
-        ]
-        candidates = first_tokens(entity_decode(markup.attr(tag, "srcset")))
-        return F.concat(*single, F.transform(candidates, lambda url: one("srcset", url)))
+        return refs(markup.attribute_name(item), entity_decode(markup.attribute_value(item)))
+
+    def of_tag(tag: Column, pos: Column) -> Column:
+        named = F.filter(
+            markup.attributes(tag), lambda item: F.regexp_like(item, F.lit(r"(?i)^[\s/]*(?:href|src|srcset)\s*="))
+        )
+        return F.flatten(F.transform(named, lambda item: of_attribute(item, pos)))
 
     # Most tags carry no reference and are dropped before their attributes are looked at.
-    linked = F.filter(
-        F.transform(markup.tags(markup.visible_markup(html)), lambda tag, i: F.struct(tag.alias("tag"), i.alias("i"))),
-        lambda t: F.regexp_like(t["tag"], F.lit(r"(?i)^<[a-z].*\s(?:href|src|srcset)\s*=")),
+    placed = F.transform(
+        markup.tags(markup.visible_markup(html)),
+        lambda tag, i: F.when(
+            ~F.startswith(tag, F.lit("</")) & F.regexp_like(tag, F.lit(r"(?i)\s(?:href|src|srcset)\s*=")), of_tag(tag, i)
+        ),
     )
-    return F.flatten(F.transform(linked, lambda t: of_tag(t["tag"], t["i"])))
+    return F.flatten(F.filter(placed, lambda refs: refs.isNotNull()))
 
 
 def audit_refs(pages: DataFrame) -> DataFrame:

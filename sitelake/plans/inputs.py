@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -149,11 +150,27 @@ def _with_clause(sql: str, table) -> str:
     return f"with {ctes} {render(sql)}"
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Give every core a share of a table that comes in fewer splits than cores.
+
+    A large table has many splits and is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table or a derived input as DataFrame."""
     if name not in INPUTS:
         return spark.read.parquet(f"{folder}/{name}.parquet")
-    return spark.sql(_with_clause(f"select * from [[{name}]]", lambda t: f"parquet.`{folder}/{t}.parquet`"))
+
+    def view(table: str) -> str:
+        rows = load(spark, folder, table)
+        key = f"given_{table}_{zlib.crc32(folder.encode()):08x}"
+        (_spread(rows) if table == "pages" else rows).createOrReplaceTempView(key)
+        return key
+
+    return spark.sql(_with_clause(f"select * from [[{name}]]", view))
 
 
 def oracle(sql: str) -> str:
