@@ -37,32 +37,39 @@ def insecure_pattern(domain: Column) -> Column:
     return _around("http:" + SLASHES + "(" + SUBDOMAINS, domain, ")" + NOT_AFTER)
 
 
+# A pattern that matches nothing. A rewrite that is off gets it instead of a branch, so that the text
+# stands in every expression once and a chain of rewrites does not double at each link.
+NOTHING = "(?!)"
+
+
+def _where(active: Column, pattern: Column) -> Column:
+    return F.when(active, pattern).otherwise(F.lit(NOTHING))
+
+
 def rewrite_host(text: Column, cfg: SiteConfig) -> Column:
     """Source host to target host: with a scheme the target's scheme, else protocol-relative or bare."""
-    source, target = cfg.col("source_host"), cfg.col("target_host")
-    with_scheme = F.regexp_replace(
-        text,
-        _around("https?:" + SLASHES, source, NOT_AFTER),
-        F.concat(cfg.col("target_scheme"), F.lit(":$1"), target),
+    source, target, mapped = cfg.col("source_host"), cfg.col("target_host"), cfg.has_host_map()
+    steps = (
+        (_around("https?:" + SLASHES, source, NOT_AFTER), F.concat(cfg.col("target_scheme"), F.lit(":$1"), target)),
+        (_around(SLASHES, source, NOT_AFTER), F.concat(F.lit("$1"), target)),
+        (bare_host_pattern(source), target),
     )
-    relative = F.regexp_replace(
-        with_scheme, _around(SLASHES, source, NOT_AFTER), F.concat(F.lit("$1"), target)
-    )
-    bare = F.regexp_replace(relative, bare_host_pattern(source), target)
-    return F.when(cfg.has_host_map(), bare).otherwise(text)
+    for pattern, new in steps:
+        text = F.regexp_replace(text, _where(mapped, pattern), new)
+    return text
 
 
-def rewrite_staging(text: Column, cfg: SiteConfig) -> Column:
+def rewrite_staging(text: Column, cfg: SiteConfig, active: Column | None = None) -> Column:
     """``admin.shop.tld`` to ``www.shop.tld``, for the configured labels."""
-    return F.regexp_replace(
-        text, staging_pattern(cfg.col("staging_label")), F.concat(cfg.col("production_label"), F.lit(".$1"))
-    )
+    pattern = staging_pattern(cfg.col("staging_label"))
+    new = F.concat(cfg.col("production_label"), F.lit(".$1"))
+    return F.regexp_replace(text, pattern if active is None else _where(active, pattern), new)
 
 
 def force_https(text: Column, cfg: SiteConfig) -> Column:
     domain = cfg.col("site_domain")
-    secure = F.regexp_replace(text, insecure_pattern(domain), F.lit("https:$1$2"))
-    return F.when(cfg.col("force_https") & (domain != ""), secure).otherwise(text)
+    pattern = _where(cfg.col("force_https") & (domain != ""), insecure_pattern(domain))
+    return F.regexp_replace(text, pattern, F.lit("https:$1$2"))
 
 
 def rewrite_image_ext(text: Column) -> Column:
@@ -71,7 +78,8 @@ def rewrite_image_ext(text: Column) -> Column:
 
 
 def rewrite_chain(text: Column, cfg: SiteConfig) -> Column:
-    hosted = F.when(cfg.has_host_map(), rewrite_host(text, cfg)).otherwise(rewrite_staging(text, cfg))
+    """Hosts (mapped, else from staging to production), then https, then image extensions."""
+    hosted = rewrite_staging(rewrite_host(text, cfg), cfg, ~cfg.has_host_map())
     return rewrite_image_ext(force_https(hosted, cfg))
 
 
@@ -92,12 +100,13 @@ def rewrite_srcset(value: Column) -> Column:
     return F.array_join(new, ", ")
 
 
-def font_display(css: Column) -> Column:
+def font_display(css: Column, active: Column | None = None) -> Column:
     """Add ``font-display:swap`` to every @font-face block without a font-display."""
+    skipped = F.lit(False) if active is None else ~active
     return replace_each(
         css,
         fv.FONT_FACE,
-        lambda block: F.when(F.lower(block).contains("font-display"), block).otherwise(
+        lambda block: F.when(skipped | F.lower(block).contains("font-display"), block).otherwise(
             F.regexp_replace(block, r"\}$", ";font-display:swap;}")
         ),
     )
@@ -122,17 +131,21 @@ def without_charset(css: Column) -> Column:
 def inlined_css(css: Column, css_path: Column, cfg: SiteConfig) -> Column:
     """A stylesheet made ready to stand inside a page."""
     moved = css_urls_to_root(without_charset(css), F.regexp_replace(css_path, "/?[^/]*$", ""))
-    return rewrite_chain(F.when(cfg.col("font_display"), font_display(moved)).otherwise(moved), cfg)
+    return rewrite_chain(font_display(moved, cfg.col("font_display")), cfg)
 
 
 def without_blank_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, LINE_END), lambda row: ~is_blank(row)), "\n")
 
 
+def without_feed_entries(xml: Column) -> Column:
+    """A sitemap without its entries under ``/feed/``."""
+    return F.regexp_replace(F.regexp_replace(xml, fv.SITEMAP_FEED_URL, ""), fv.SITEMAP_FEED_CHILD, "")
+
+
 def clean_sitemap(xml: Column, cfg: SiteConfig) -> Column:
     """Drop entries under ``/feed/``, rewrite hosts, drop blank lines."""
-    kept = F.regexp_replace(F.regexp_replace(xml, fv.SITEMAP_FEED_URL, ""), fv.SITEMAP_FEED_CHILD, "")
-    return without_blank_lines(rewrite_chain(kept, cfg))
+    return without_blank_lines(rewrite_chain(without_feed_entries(xml), cfg))
 
 
 def clean_robots(txt: Column, cfg: SiteConfig) -> Column:

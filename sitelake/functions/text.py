@@ -53,9 +53,13 @@ def replace_each(text: Column, pattern: str, body: Callable[[Column], Column]) -
 
     ``pattern`` must have no group and never match the empty string.
     """
-    pieces = F.zip_with(
-        F.split(text, pattern, -1),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), body),
-        lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
+
+    def replaced(whole: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(whole, pattern, -1),
+            F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), body),
+            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+        )
+        return F.when(F.regexp_like(whole, F.lit(pattern)), F.array_join(pieces, "")).otherwise(whole)
+
+    return bind(text, replaced)

@@ -16,13 +16,13 @@ from sitelake.functions import markup as mk
 from sitelake.functions.paths import extension, file_class, webp_path
 from sitelake.functions.rewrite import (
     clean_robots,
-    clean_sitemap,
     font_display,
     inlined_css,
     rewrite_chain,
     rewrite_image_ext,
     rewrite_srcset,
     without_blank_lines,
+    without_feed_entries,
 )
 from sitelake.functions.text import bind, entity_decode, is_blank, is_empty, trimmed
 from sitelake.functions.urls import internal_href_path, is_sitemap
@@ -31,8 +31,7 @@ from sitelake.operators.files import allowed_script, kept_in_tree
 KEYS = ["site", "page_path"]
 
 
-def _unless(flag: Column, old: Column, new: Column) -> Column:
-    return F.when(flag, old).otherwise(new)
+# Settings are tested inside the lambdas: a branch around a step would repeat all steps before it.
 
 
 def _words(value: Column) -> Column:
@@ -58,8 +57,7 @@ def _script_stays(script: Column, cfg: SiteConfig) -> Column:
 
 def strip_scripts(tokens: Column, cfg: SiteConfig) -> Column:
     """Drop scripts, but for structured data and the allow-list."""
-    kept = F.filter(tokens, lambda t: ~mk.is_start(t, "script") | _script_stays(t, cfg))
-    return _unless(cfg.col("keep_js"), tokens, kept)
+    return F.filter(tokens, lambda t: cfg.col("keep_js") | ~mk.is_start(t, "script") | _script_stays(t, cfg))
 
 
 def _serves_scripts(link: Column, cfg: SiteConfig) -> Column:
@@ -73,8 +71,7 @@ def _serves_scripts(link: Column, cfg: SiteConfig) -> Column:
 
 def strip_js_links(tokens: Column, cfg: SiteConfig) -> Column:
     """Drop links that only load scripts."""
-    kept = F.filter(tokens, lambda t: ~mk.is_start(t, "link") | ~_serves_scripts(t, cfg))
-    return _unless(cfg.col("keep_js"), tokens, kept)
+    return F.filter(tokens, lambda t: cfg.col("keep_js") | ~mk.is_start(t, "link") | ~_serves_scripts(t, cfg))
 
 
 def inline_styles(tokens: Column, styles: Column, cfg: SiteConfig) -> Column:
@@ -87,15 +84,16 @@ def inline_styles(tokens: Column, styles: Column, cfg: SiteConfig) -> Column:
         return F.concat(F.lit("<style"), shown, F.lit(">"), css, F.lit("</style>"))
 
     def of(t: Column) -> Column:
-        sheet = mk.is_start(t, "link") & F.array_contains(_words(mk.attr(t, "rel")), "stylesheet")
+        wanted = cfg.col("inline_css") & styles.isNotNull() & mk.is_start(t, "link")
+        sheet = wanted & F.array_contains(_words(mk.attr(t, "rel")), "stylesheet")
         return F.when(sheet, F.coalesce(style(t), t)).otherwise(t)
 
-    return F.when(cfg.col("inline_css") & styles.isNotNull(), F.transform(tokens, of)).otherwise(tokens)
+    return F.transform(tokens, of)
 
 
 def style_font_display(tokens: Column, cfg: SiteConfig) -> Column:
-    fixed = F.transform(tokens, lambda t: F.when(mk.is_start(t, "style"), font_display(t)).otherwise(t))
-    return F.when(cfg.col("font_display"), fixed).otherwise(tokens)
+    wanted = lambda t: cfg.col("font_display") & mk.is_start(t, "style")
+    return F.transform(tokens, lambda t: F.when(wanted(t), font_display(t)).otherwise(t))
 
 
 def unwrap_noscript(tokens: Column, cfg: SiteConfig) -> Column:
@@ -104,9 +102,9 @@ def unwrap_noscript(tokens: Column, cfg: SiteConfig) -> Column:
     def of(t: Column) -> Column:
         inner = F.regexp_replace(t, r"(?i)^<noscript\b[^>]*>|</noscript\s*>$", "")
         shown = F.when(is_blank(inner), "").when(inner.contains("&lt;"), entity_decode(inner)).otherwise(inner)
-        return F.when(F.regexp_like(t, F.lit(r"(?i)^</?noscript\b")), shown).otherwise(t)
+        return F.when(~cfg.col("keep_js") & F.regexp_like(t, F.lit(r"(?i)^</?noscript\b")), shown).otherwise(t)
 
-    return _unless(cfg.col("keep_js"), tokens, F.transform(tokens, of))
+    return F.transform(tokens, of)
 
 
 # --- attributes -----------------------------------------------------------------------------------
@@ -129,9 +127,10 @@ def _put(items: Column, name: str, value: Column) -> Column:
     return F.when(_has(items, name), replaced).otherwise(F.concat(items, F.array(mk.new_attribute(name, value))))
 
 
-def _edit_tags(tokens: Column, pattern: str, edit) -> Column:
+def _edit_tags(tokens: Column, pattern: str, edit, active: Column | None = None) -> Column:
     """Rebuild the start tags that ``pattern`` finds worth a look; all other tokens pass as they are."""
-    worth = lambda t: F.regexp_like(t, F.lit(pattern)) & F.regexp_like(t, F.lit("^<[a-zA-Z]"))
+    on = F.lit(True) if active is None else active
+    worth = lambda t: on & F.regexp_like(t, F.lit(pattern)) & F.regexp_like(t, F.lit("^<[a-zA-Z]"))
     raw = lambda t: F.regexp_like(t, F.lit(r"(?i)^<(?:script|style|textarea|noscript)[\s/>]"))
     return F.transform(
         tokens,
@@ -142,7 +141,7 @@ def _edit_tags(tokens: Column, pattern: str, edit) -> Column:
 def strip_handlers(tokens: Column, cfg: SiteConfig) -> Column:
     """Drop attributes whose name starts with ``on``."""
     drop = lambda items: F.filter(items, lambda item: ~F.startswith(mk.attribute_name(item), F.lit("on")))
-    return _unless(cfg.col("keep_js"), tokens, _edit_tags(tokens, r"(?i)\son", drop))
+    return _edit_tags(tokens, r"(?i)\son", drop, ~cfg.col("keep_js"))
 
 
 def strip_js_refs(tokens: Column, cfg: SiteConfig) -> Column:
@@ -153,7 +152,7 @@ def strip_js_refs(tokens: Column, cfg: SiteConfig) -> Column:
         return mk.attribute_name(item).isin("href", "src") & F.startswith(value, F.lit("javascript:"))
 
     drop = lambda items: F.filter(items, lambda item: ~runs(item))
-    return _unless(cfg.col("keep_js"), tokens, _edit_tags(tokens, "(?i)javascript:", drop))
+    return _edit_tags(tokens, "(?i)javascript:", drop, ~cfg.col("keep_js"))
 
 
 def promote_lazy(tokens: Column) -> Column:
@@ -359,7 +358,8 @@ def inline_css(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig) -> Dat
     small = stylesheets.filter((size > 0) & (size <= fv.INLINE_CSS_MAX_BYTES)).select(
         "site", "path", inlined_css(F.col("body"), F.col("path"), cfg).alias("css")
     )
-    return links.filter("path is not null").join(small, ["site", "path"]).select(*KEYS, "href", "css")
+    # Two captures may share a path; their links count once.
+    return links.filter("path is not null").distinct().join(small, ["site", "path"]).select(*KEYS, "href", "css")
 
 
 def image_dims(pages: DataFrame, dims: DataFrame, cfg: SiteConfig) -> DataFrame:
@@ -480,20 +480,24 @@ def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = N
     )
     kept = files.filter(kept_in_tree(path, cfg)).withColumn("kind", kind)
 
-    chained = rewrite_chain(body, cfg)
-    styled = F.when(cfg.col("font_display"), font_display(chained)).otherwise(chained)
-    new_body = (
-        F.when(F.col("kind") == "sitemap", clean_sitemap(body, cfg))
-        .when(F.col("kind") == "robots", clean_robots(body, cfg))
-        .when(F.col("kind") == "css", styled)
-        .when(F.col("kind").isin("js", "text"), chained)
-        .otherwise(body)
-    )
     new_path = F.when(F.col("kind") == "image", webp_path(path)).otherwise(path)
-    others = kept.filter("kind <> 'html'").select("site", "path", new_path.alias("new_path"), "kind", new_body.alias("new_body"))
+    others = kept.filter("kind <> 'html'").select("*", new_path.alias("new_path"))
+    # Robots files are rewritten line by line; all other text goes through one chain, prepared and finished by kind.
+    robots = others.filter("kind = 'robots'").withColumn("new_body", clean_robots(body, cfg))
+    rewritten = F.col("kind").isin("sitemap", "css", "js", "text")
+    prepared = F.when(F.col("kind") == "sitemap", without_feed_entries(body)).when(rewritten, body)
+    finished = (
+        F.when(F.col("kind") == "sitemap", without_blank_lines(F.col("chained")))
+        .when(F.col("kind") == "css", font_display(F.col("chained"), cfg.col("font_display")))
+        .otherwise(F.coalesce("chained", body))
+    )
+    texts = (
+        others.filter("kind <> 'robots'").withColumn("chained", rewrite_chain(prepared, cfg)).withColumn("new_body", finished)
+    )
+    columns = ["site", "path", "new_path", "kind", "new_body"]
     pages = kept.filter("kind = 'html'").withColumnsRenamed({"path": "page_path", "body": "html"})
     stylesheets = files.filter(extension(path) == "css")
     cleaned = clean_pages(pages, cfg, stylesheets, dims).select(
         "site", F.col("page_path").alias("path"), F.col("page_path").alias("new_path"), "kind", F.col("cleaned").alias("new_body")
     )
-    return others.unionByName(cleaned)
+    return robots.select(*columns).unionByName(texts.select(*columns)).unionByName(cleaned)
