@@ -89,16 +89,19 @@ def resolve_ref(ref: Column, page_url: Column, base: Column) -> Column:
 def url_to_path(url: Column, content_type: Column | None = None) -> Column:
     """File path of a captured URL; NULL if the path tries to leave the site."""
     kind = F.lit("") if content_type is None else F.coalesce(F.lower(content_type), F.lit(""))
-    path = F.ltrim(percent_decoded(raw_path(url)), F.lit("/"))
-    stem = F.rtrim(path, F.lit("/"))
-    return (
-        F.when(path.contains(".."), F.lit(None))
-        .when(stem == "", "index.html")
-        .when(path.endswith("/"), F.concat(stem, F.lit("/index.html")))
-        .when(base_name(path).contains("."), path)
-        .when((kind == "") | kind.contains("text/html"), F.concat(path, F.lit("/index.html")))
-        .otherwise(path)
-    )
+
+    def placed(path: Column) -> Column:
+        stem = F.rtrim(path, F.lit("/"))
+        return (
+            F.when(path.contains(".."), F.lit(None))
+            .when(stem == "", "index.html")
+            .when(path.endswith("/"), F.concat(stem, F.lit("/index.html")))
+            .when(base_name(path).contains("."), path)
+            .when((kind == "") | kind.contains("text/html"), F.concat(path, F.lit("/index.html")))
+            .otherwise(path)
+        )
+
+    return bind(raw_path(url), lambda raw: bind(F.ltrim(percent_decoded(raw), F.lit("/")), placed))
 
 
 def internal_href_path(href: Column, page_path: Column, cfg: SiteConfig) -> Column:

@@ -121,10 +121,13 @@ def _has(items: Column, name: str) -> Column:
 
 def _put(items: Column, name: str, value: Column) -> Column:
     """Set an attribute, in its place if it exists, else at the end."""
-    replaced = F.transform(
-        items, lambda item: F.when(mk.attribute_name(item) == name, mk.new_attribute(name, value)).otherwise(item)
-    )
-    return F.when(_has(items, name), replaced).otherwise(F.concat(items, F.array(mk.new_attribute(name, value))))
+    new = mk.new_attribute(name, value)
+
+    def put(old: Column) -> Column:
+        replaced = F.transform(old, lambda item: F.when(mk.attribute_name(item) == name, new).otherwise(item))
+        return F.when(_has(old, name), replaced).otherwise(F.concat(old, F.array(new)))
+
+    return bind(items, put)
 
 
 def _edit_tags(tokens: Column, pattern: str, edit, active: Column | None = None) -> Column:
@@ -211,11 +214,12 @@ def hint_images(tokens: Column, sizes: Column, cfg: SiteConfig) -> Column:
         )
 
     def edit(items: Column, first: Column) -> Column:
+        urgent = lambda x: F.filter(
+            missing(x, "fetchpriority", F.lit("high")), lambda item: mk.attribute_name(item) != "loading"
+        )
+        lazy = lambda x: missing(x, "loading", F.lit("lazy"))
         decoded = bind(sized(items), lambda x: missing(x, "decoding", F.lit("async")))
-        urgent = bind(decoded, lambda x: missing(x, "fetchpriority", F.lit("high")))
-        return F.when(
-            first, F.filter(urgent, lambda item: mk.attribute_name(item) != "loading")
-        ).otherwise(bind(decoded, lambda x: missing(x, "loading", F.lit("lazy"))))
+        return bind(decoded, lambda x: F.when(first, urgent(x)).otherwise(lazy(x)))
 
     def hinted(all_tokens: Column, first: Column) -> Column:
         return F.transform(
@@ -446,20 +450,22 @@ def clean_pages(
     """
     rows = with_assets(pages, cfg, stylesheets, dims)
     steps = {
-        "_tokens": lambda: scripts_and_styles(mk.tokens(F.col("html")), F.col("styles"), cfg),
+        # White space is closed up within each piece of text as captured: pieces that only come to stand
+        # side by side because a script between them goes keep a space each.
+        "_spaced": collapse_space(F.col("html")),
+        "_tokens": scripts_and_styles(mk.tokens(F.col("_spaced")), F.col("styles"), cfg),
         # Decoded noscript text may hold tags: cut again before the images are edited.
-        "_again": lambda: mk.tokens(F.array_join("_tokens", "")),
-        "_renamed": lambda: rename_images(F.col("_again")),
-        "_text": lambda: collapse_space(F.array_join(hint_images(F.col("_renamed"), F.col("sizes"), cfg), "")),
-        "_tracked": lambda: inject_analytics(F.col("_text"), cfg),
-        "_safe": lambda: inject_csp(F.col("_tracked"), cfg),
-        "_loaded": lambda: inject_preloads(F.col("_safe"), F.col("html"), cfg),
-        "_chained": lambda: rewrite_chain(F.col("_loaded"), cfg),
-        "cleaned": lambda: F.concat(without_blank_lines(F.col("_chained")), F.lit("\n")),
+        "_again": mk.tokens(F.array_join("_tokens", "")),
+        "_renamed": rename_images(F.col("_again")),
+        "_text": F.array_join(hint_images(F.col("_renamed"), F.col("sizes"), cfg), ""),
+        "_tracked": inject_analytics(F.col("_text"), cfg),
+        "_safe": inject_csp(F.col("_tracked"), cfg),
+        "_loaded": inject_preloads(F.col("_safe"), F.col("html"), cfg),
+        "_chained": rewrite_chain(F.col("_loaded"), cfg),
+        "cleaned": F.concat(without_blank_lines(F.col("_chained")), F.lit("\n")),
     }
-    for name, step in steps.items():
-        rows = rows.withColumn(name, step())
-    return rows.select(*pages.columns, "cleaned")
+    # One selection whose later columns read the earlier ones.
+    return rows.select("*", *[step.alias(name) for name, step in steps.items()]).select(*pages.columns, "cleaned")
 
 
 def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = None) -> DataFrame:

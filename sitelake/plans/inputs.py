@@ -150,6 +150,10 @@ def _with_clause(sql: str, table) -> str:
     return f"with {ctes} {render(sql)}"
 
 
+# Tables whose rows stand for long texts: few splits of them keep a core busy for long.
+_TEXT_HEAVY = ("pages", "supplier")
+
+
 def _spread(table: DataFrame) -> DataFrame:
     """Give every core a share of a table that comes in fewer splits than cores.
 
@@ -167,7 +171,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     def view(table: str) -> str:
         rows = load(spark, folder, table)
         key = f"given_{table}_{zlib.crc32(folder.encode()):08x}"
-        (_spread(rows) if table == "pages" else rows).createOrReplaceTempView(key)
+        (_spread(rows) if table in _TEXT_HEAVY else rows).createOrReplaceTempView(key)
         return key
 
     return spark.sql(_with_clause(f"select * from [[{name}]]", view))

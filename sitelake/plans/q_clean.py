@@ -274,13 +274,13 @@ def image_dims(source):
 
 _PASS = f"""{_SET}, {_SHEETS}, {_DIMS}, {_SRCS},
  sizes as (select page_id, map(list(src), list('width="' || width || '" height="' || height || '"')) as sizes from srcs join dims using (site, path) group by page_id),
- a as (select c.*, sizes, {_js_links(_scripts(_comments(f"regexp_extract_all(html, {d.q(d.TOKEN)})"))) } as t, css, {_LINKED} as linked
+ a as (select c.*, sizes, {_js_links(_scripts(_comments(f"regexp_extract_all({_spaces('html')}, {d.q(d.TOKEN)})")))} as t, css, {_LINKED} as linked
        from c left join sheets s on s.site = c.site and s.path = 'css/' || (c.page_id % 7) || '.css' left join sizes using (page_id)),
  b as (select *, list_transform(t, lambda x: case when x = linked then coalesce('<style media="print">' || css || '</style>', x) else x end) as t1 from a),
  e as (select *, array_to_string({_noscript(_lazy(_js_refs(_handlers(_fonts('t1')))))}, '') as h1 from b),
  f as (select *, {_renamed(f"regexp_extract_all(h1, {d.q(d.TOKEN)})")} as t2 from e),
  g as (select *, array_to_string({_hints('t2', 'sizes')}, '') as h2 from f),
- h as (select *, {_analytics(_spaces('h2'))} as h3 from g),
+ h as (select *, {_analytics('h2')} as h3 from g),
  i as (select *, {_csp('h3')} as h4 from h),
  j as (select *, {_preloads('h4')} as h5 from i),
  k as (select *, {chain('h5')} as h6 from j),

@@ -53,10 +53,10 @@ def text_lines(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 def read_file_tree(spark: SparkSession, folder: str, site: str) -> DataFrame:
     """All files below a folder as files(site, path, body BINARY, size)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit("/" + folder.split("://", 1)[-1].strip("/") + "/")
+    root = "/" + folder.split("://", 1)[-1].strip("/") + "/"
     return files.select(
         F.lit(site).alias("site"),
-        F.substring_index(F.col("path"), root, -1).alias("path"),
+        F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"),
         F.col("content").alias("body"),
         F.col("length").alias("size"),
     )

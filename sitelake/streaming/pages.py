@@ -5,6 +5,7 @@ A scheduled pass is one run with the trigger ``availableNow`` and the checkpoint
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -51,9 +52,10 @@ def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataF
     """What earlier batches stored; a repeated batch never sees its own first attempt."""
     try:
         rows = spark.read.schema(schema).parquet(folder)
-    except Exception as error:  # the first batch finds no folder yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        # The first batch finds no folder yet.
         rows = spark.createDataFrame([], schema)
     return rows.filter(F.col("batch") < before)
 
