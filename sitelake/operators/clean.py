@@ -346,62 +346,101 @@ def inject_preloads(html: Column, original: Column, cfg: SiteConfig) -> Column:
 # --- look-ups in other files ----------------------------------------------------------------------
 
 
-def inline_css(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig) -> DataFrame:
-    """Small internal stylesheets of each page, ready to be placed: (site, page_path, href, css).
-
-    Each stylesheet is prepared once; pages take part with their links only. A stylesheet used by every page
-    of a large site is a hot key, which adaptive execution splits on the page side.
-    """
+def _sheet_hrefs(html: Column) -> Column:
     sheets = F.filter(
-        mk.tags(F.col("html"), "link"), lambda t: F.array_contains(_words(mk.attr(t, "rel")), "stylesheet")
+        mk.tags(html, "link"), lambda t: F.array_contains(_words(mk.attr(t, "rel")), "stylesheet")
     )
-    hrefs = F.array_distinct(F.transform(sheets, lambda t: mk.attr(t, "href")))
-    aimed = internal_href_path(F.col("href"), F.col("page_path"), cfg)
-    links = pages.withColumn("href", F.explode(hrefs)).select(*KEYS, "href", aimed.alias("path"))
-    size = F.octet_length("body")
-    small = stylesheets.filter((size > 0) & (size <= fv.INLINE_CSS_MAX_BYTES)).select(
-        "site", "path", inlined_css(F.col("body"), F.col("path"), cfg).alias("css")
-    )
-    # Two captures may share a path; their links count once.
-    return links.filter("path is not null").distinct().join(small, ["site", "path"]).select(*KEYS, "href", "css")
-
+    return F.array_distinct(F.transform(sheets, lambda t: mk.attr(t, "href")))
 
-def image_dims(pages: DataFrame, dims: DataFrame, cfg: SiteConfig) -> DataFrame:
-    """Sizes of the images that lack one: (site, page_path, src, width, height).
 
-    ``src`` is the value after lazy loading and renaming. A ``.webp`` also takes the size of the png, jpg or
-    jpeg it is made from, in this order.
-    """
-    lacking = F.filter(
-        mk.tags(F.col("html"), "img"), lambda t: ~(mk.has_attr(t, "width") & mk.has_attr(t, "height"))
-    )
+def _unsized_sources(html: Column) -> Column:
+    """src of the images without both sizes, as it will read after lazy loading and renaming."""
+    lacking = F.filter(mk.tags(html, "img"), lambda t: ~(mk.has_attr(t, "width") & mk.has_attr(t, "height")))
 
     def shown(t: Column) -> Column:
         values = F.array(mk.attr(t, "src"), *[mk.attr(t, name) for name in fv.LAZY_SRC])
         return F.get(F.filter(values, lambda v: ~is_empty(v)), F.lit(0))
 
     sources = F.array_distinct(F.transform(lacking, lambda t: rewrite_image_ext(shown(t))))
-    images = pages.withColumn("src", F.explode(F.filter(sources, lambda s: s.isNotNull())))
-    path = internal_href_path(F.col("src"), F.col("page_path"), cfg)
-    aimed = images.select(*KEYS, "src", path.alias("aim")).filter("aim is not null")
-    stem = F.regexp_replace("aim", r"(?i)\.webp$", ".")
-    originals = F.when(
-        F.regexp_like("aim", F.lit(r"(?i)\.webp$")), F.array(*[F.concat(stem, F.lit(e)) for e in fv.IMAGE_EXTENSIONS])
-    ).otherwise(F.array().cast("array<string>"))
-    tried = aimed.select(*KEYS, "src", F.posexplode(F.concat(F.array("aim"), originals)).alias("rank", "path"))
-    known = dims.filter("width > 0 and height > 0").select("site", "path", "width", "height")
-    best = F.min(F.struct("rank", "width", "height")).alias("best")
-    return (
-        tried.join(known, ["site", "path"])
-        .groupBy(*KEYS, "src")
-        .agg(best)
-        .select(*KEYS, "src", "best.width", "best.height")
+    return F.filter(sources, lambda src: src.isNotNull())
+
+
+def _candidates(kind: Column, path: Column) -> Column:
+    """Paths to try, in order: the path itself; for a ``.webp`` image also the png, jpg or jpeg it is made from."""
+    stem = F.regexp_replace(path, r"(?i)\.webp$", ".")
+    originals = F.array(*[F.concat(stem, F.lit(e)) for e in fv.IMAGE_EXTENSIONS])
+    made = (kind == "image") & F.regexp_like(path, F.lit(r"(?i)\.webp$"))
+    return F.when(made, F.concat(F.array(path), originals)).otherwise(F.array(path))
+
+
+def page_lookups(pages: DataFrame, cfg: SiteConfig, styles: bool = True, images: bool = True) -> DataFrame:
+    """What pages look up in other files, in one pass over their text: (site, page_path, kind, key, rank, path).
+
+    Two captures may share a path; their look-ups count once.
+    """
+
+    def of_kind(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key")))
+
+    parts = []
+    if styles:
+        parts.append(of_kind("style", _sheet_hrefs(F.col("html"))))
+    if images:
+        parts.append(of_kind("image", _unsized_sources(F.col("html"))))
+    listed = pages.select("*", F.inline(F.concat(*parts)))
+    path = internal_href_path(F.col("_key"), F.col("page_path"), cfg)
+    # A generator again, so that the path is resolved once and not once more in a filter.
+    aimed = listed.select(
+        *KEYS, F.col("_kind").alias("kind"), F.col("_key").alias("key"),
+        F.explode(F.filter(F.array(path), lambda p: p.isNotNull())).alias("aim"),
     )
+    tried = aimed.select(*KEYS, "kind", "key", F.posexplode(_candidates(F.col("kind"), F.col("aim"))).alias("rank", "path"))
+    return tried.distinct()
+
+
+def lookup_targets(
+    stylesheets: DataFrame | None, dims: DataFrame | None, cfg: SiteConfig
+) -> DataFrame:
+    """What can be found: (site, path, kind, css, width, height). Each small stylesheet is prepared once, here."""
+    found = []
+    if stylesheets is not None:
+        size = F.octet_length("body")
+        found.append(
+            stylesheets.filter((size > 0) & (size <= fv.INLINE_CSS_MAX_BYTES)).select(
+                "site", "path", F.lit("style").alias("kind"), inlined_css(F.col("body"), F.col("path"), cfg).alias("css"),
+                F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"),
+            )
+        )
+    if dims is not None:
+        found.append(
+            dims.filter("width > 0 and height > 0").select(
+                "site", "path", F.lit("image").alias("kind"), F.lit(None).cast("string").alias("css"),
+                F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"),
+            )
+        )
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _looked_up(pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None, dims: DataFrame | None) -> DataFrame:
+    """Look-ups with what they found. A file used by every page of a large site is a hot key, which adaptive
+    execution splits on the side of the pages."""
+    wanted = page_lookups(pages, cfg, stylesheets is not None, dims is not None)
+    return wanted.join(lookup_targets(stylesheets, dims, cfg), ["site", "path", "kind"])
+
+
+def inline_css(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig) -> DataFrame:
+    """Small internal stylesheets of each page, ready to be placed: (site, page_path, href, css)."""
+    return _looked_up(pages, cfg, stylesheets, None).select(*KEYS, F.col("key").alias("href"), "css")
 
 
-def _map_per_page(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """One map per page; its size is the number of links of that page."""
-    return rows.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+def image_dims(pages: DataFrame, dims: DataFrame, cfg: SiteConfig) -> DataFrame:
+    """Sizes of the images that lack one: (site, page_path, src, width, height).
+
+    ``src`` is the value after lazy loading and renaming; the first candidate with a size decides.
+    """
+    best = F.min(F.struct("rank", "width", "height")).alias("best")
+    found = _looked_up(pages, cfg, None, dims).groupBy(*KEYS, F.col("key").alias("src")).agg(best)
+    return found.select(*KEYS, "src", "best.width", "best.height")
 
 
 _NO_STYLES = "map<string,string>"
@@ -411,16 +450,24 @@ _NO_SIZES = "map<string,struct<width:int,height:int>>"
 def with_assets(
     pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None = None, dims: DataFrame | None = None
 ) -> DataFrame:
-    """Pages with the maps ``styles`` and ``sizes``; both joins use the same key, so a page moves once at most."""
-    rows = pages
-    if stylesheets is None:
-        rows = rows.withColumn("styles", F.lit(None).cast(_NO_STYLES))
-    else:
-        rows = rows.join(_map_per_page(inline_css(pages, stylesheets, cfg), "href", F.col("css"), "styles"), KEYS, "left")
-    if dims is None:
-        return rows.withColumn("sizes", F.lit(None).cast(_NO_SIZES))
-    size = F.struct(F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
-    return rows.join(_map_per_page(image_dims(pages, dims, cfg), "src", size, "sizes"), KEYS, "left")
+    """Pages with the maps ``styles`` and ``sizes`` of what they look up.
+
+    One pass over the text finds all look-ups; they meet the files and come back as one row per page, whose
+    size is the number of look-ups of that page. The text itself moves once at most, for the last join.
+    """
+    if stylesheets is None and dims is None:
+        return pages.withColumns({"styles": F.lit(None).cast(_NO_STYLES), "sizes": F.lit(None).cast(_NO_SIZES)})
+    entry = F.struct("kind", "key", "rank", "css", F.struct("width", "height").alias("size"))
+    found = _looked_up(pages, cfg, stylesheets, dims).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+
+    def first_of(kind: str, field: str) -> Column:
+        mine = F.filter("found", lambda e: e["kind"] == kind)
+        # Sorted by key and rank: the first entry of a key is the best one.
+        best = bind(mine, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["key"] != e["key"])))
+        return F.map_from_entries(F.transform(best, lambda e: F.struct(e["key"], e[field])))
+
+    maps = found.select(*KEYS, first_of("style", "css").alias("styles"), first_of("image", "size").alias("sizes"))
+    return pages.join(maps, KEYS, "left")
 
 
 # --- the whole pass -------------------------------------------------------------------------------
@@ -489,21 +536,19 @@ def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = N
     new_path = F.when(F.col("kind") == "image", webp_path(path)).otherwise(path)
     others = kept.filter("kind <> 'html'").select("*", new_path.alias("new_path"))
     # Robots files are rewritten line by line; all other text goes through one chain, prepared and finished by kind.
-    robots = others.filter("kind = 'robots'").withColumn("new_body", clean_robots(body, cfg))
     rewritten = F.col("kind").isin("sitemap", "css", "js", "text")
     prepared = F.when(F.col("kind") == "sitemap", without_feed_entries(body)).when(rewritten, body)
     finished = (
-        F.when(F.col("kind") == "sitemap", without_blank_lines(F.col("chained")))
+        F.when(F.col("kind") == "robots", clean_robots(body, cfg))
+        .when(F.col("kind") == "sitemap", without_blank_lines(F.col("chained")))
         .when(F.col("kind") == "css", font_display(F.col("chained"), cfg.col("font_display")))
         .otherwise(F.coalesce("chained", body))
     )
-    texts = (
-        others.filter("kind <> 'robots'").withColumn("chained", rewrite_chain(prepared, cfg)).withColumn("new_body", finished)
-    )
+    texts = others.withColumn("chained", rewrite_chain(prepared, cfg)).withColumn("new_body", finished)
     columns = ["site", "path", "new_path", "kind", "new_body"]
     pages = kept.filter("kind = 'html'").withColumnsRenamed({"path": "page_path", "body": "html"})
     stylesheets = files.filter(extension(path) == "css")
     cleaned = clean_pages(pages, cfg, stylesheets, dims).select(
         "site", F.col("page_path").alias("path"), F.col("page_path").alias("new_path"), "kind", F.col("cleaned").alias("new_body")
     )
-    return robots.select(*columns).unionByName(texts.select(*columns)).unionByName(cleaned)
+    return texts.select(*columns).unionByName(cleaned)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
 from sitelake.functions.urls import is_crawlable, url_parts
-from sitelake.session import cut_lineage, new_folder
+from sitelake.session import bucketed, new_folder
 
 
 def capture_outcome() -> dict[str, Column]:
@@ -99,7 +99,8 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, captured: DataFrame) -> Data
     inner = edges.select("site", "src", "dst").distinct().join(
         pages.withColumnRenamed("url", "dst"), ["site", "dst"], "left_semi"
     )
-    links = cut_lineage(inner, "reach-links")
+    # All links are read in every round: bucketed by their source, they are shuffled only now.
+    links, table = bucketed(inner, "reach-links", "site", "src")
     folder = new_folder(spark, "reach")
     rounds = spark.read.schema("site string, url string, depth int")
 
@@ -120,4 +121,5 @@ def crawl_reach(edges: DataFrame, seeds: DataFrame, captured: DataFrame) -> Data
         )
         depth += 1
         found.withColumn("depth", F.lit(depth)).write.parquet(f"{folder}/round={depth}")
+    spark.sql(f"drop table {table}")
     return rounds.parquet(*[f"{folder}/round={i}" for i in range(depth + 1)])

@@ -60,3 +60,16 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
+    """Write rows as a table bucketed by a join key; a join on this key then moves only the other side.
+
+    Returns the table and its name in the session's catalog. Its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"sitelake_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(buckets, *keys)
+    spread.write.bucketBy(buckets, *keys).option("path", new_folder(spark, name)).saveAsTable(table)
+    return spark.table(table), table
