@@ -54,7 +54,12 @@ def tags(markup: Column, name: str | None = None) -> Column:
 
 
 def is_start(token: Column, name: str) -> Column:
-    return F.regexp_like(token, F.lit(rf"(?i)^<{name}[\s/>]"))
+    """The token is a start tag of that name. A comparison of its first letters, as this runs for every token."""
+    return F.lower(F.substring(token, 1, len(name) + 2)).isin(*[f"<{name}{end}" for end in "> /\t\n\x0b\f\r"])
+
+
+def is_start_tag(token: Column) -> Column:
+    return F.startswith(token, F.lit("<")) & F.regexp_like(token, F.lit("^<[a-zA-Z]"))
 
 
 def _unquoted(value: Column) -> Column:

@@ -102,7 +102,8 @@ def unwrap_noscript(tokens: Column, cfg: SiteConfig) -> Column:
     def of(t: Column) -> Column:
         inner = F.regexp_replace(t, r"(?i)^<noscript\b[^>]*>|</noscript\s*>$", "")
         shown = F.when(is_blank(inner), "").when(inner.contains("&lt;"), entity_decode(inner)).otherwise(inner)
-        return F.when(~cfg.col("keep_js") & F.regexp_like(t, F.lit(r"(?i)^</?noscript\b")), shown).otherwise(t)
+        element = F.startswith(t, F.lit("<")) & F.regexp_like(t, F.lit(r"(?i)^</?noscript\b"))
+        return F.when(~cfg.col("keep_js") & element, shown).otherwise(t)
 
     return F.transform(tokens, of)
 
@@ -130,15 +131,21 @@ def _put(items: Column, name: str, value: Column) -> Column:
     return bind(items, put)
 
 
+_RAW_START = r"(?i)^<(?:script|style|textarea|noscript)[\s/>]"
+
+
 def _edit_tags(tokens: Column, pattern: str, edit, active: Column | None = None) -> Column:
     """Rebuild the start tags that ``pattern`` finds worth a look; all other tokens pass as they are."""
     on = F.lit(True) if active is None else active
-    worth = lambda t: on & F.regexp_like(t, F.lit(pattern)) & F.regexp_like(t, F.lit("^<[a-zA-Z]"))
-    raw = lambda t: F.regexp_like(t, F.lit(r"(?i)^<(?:script|style|textarea|noscript)[\s/>]"))
-    return F.transform(
-        tokens,
-        lambda t: F.when(worth(t) & ~raw(t), bind(mk.attributes(t), lambda items: mk.rebuilt(t, edit(items)))).otherwise(t),
-    )
+
+    def worth(t: Column) -> Column:
+        # Text is ruled out by its first letter, before any pattern looks at it.
+        return on & mk.is_start_tag(t) & F.regexp_like(t, F.lit(pattern)) & ~F.regexp_like(t, F.lit(_RAW_START))
+
+    def rebuilt(t: Column) -> Column:
+        return bind(mk.attributes(t), lambda items: mk.rebuilt(t, edit(items)))
+
+    return F.transform(tokens, lambda t: F.when(worth(t), rebuilt(t)).otherwise(t))
 
 
 def strip_handlers(tokens: Column, cfg: SiteConfig) -> Column:
@@ -243,11 +250,15 @@ def lcp_image(html: Column) -> Column:
 # --- text -----------------------------------------------------------------------------------------
 
 
+# Any run of white space but the single plain space, which would only be replaced by itself.
+_SPACE_RUN = r"(?U)[^\S ]\s*| \s+"
+
+
 def collapse_space(html: Column) -> Column:
     """Runs of white space, Unicode spaces included, in text outside preformatted elements become one space."""
     pieces = F.regexp_extract_all(html, F.lit(mk.SPACE_TOKEN), F.lit(0))
     closed = F.transform(
-        pieces, lambda t: F.when(F.startswith(t, F.lit("<")), t).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))
+        pieces, lambda t: F.when(F.startswith(t, F.lit("<")), t).otherwise(F.regexp_replace(t, _SPACE_RUN, " "))
     )
     return F.array_join(closed, "")
 
