@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelake import fixed_values as fv
 from sitelake.config import SiteConfig
 from sitelake.functions.paths import folded
-from sitelake.functions.text import LINE_END, is_blank, is_empty, quoted, replace_each, trimmed
+from sitelake.functions.text import LINE_END, bind, is_blank, is_empty, quoted, replace_each, trimmed
 
 # Slashes plain or JSON-escaped, and what must not touch a host name on either side.
 SLASHES = r"(\\?/\\?/)"
@@ -38,17 +38,19 @@ def insecure_pattern(domain: Column) -> Column:
 
 
 # A pattern that matches nothing. A rewrite that is off gets it instead of a branch, so that the text
-# stands in every expression once and a chain of rewrites does not double at each link.
-NOTHING = "(?!)"
+# stands in every expression once and a chain of rewrites does not double at each link. Its length
+# lets the search end at once instead of trying every position.
+NOTHING = "(?!).{1000000000}"
 
 
 def _where(active: Column, pattern: Column) -> Column:
     return F.when(active, pattern).otherwise(F.lit(NOTHING))
 
 
-def rewrite_host(text: Column, cfg: SiteConfig) -> Column:
+def rewrite_host(text: Column, cfg: SiteConfig, active: Column | None = None) -> Column:
     """Source host to target host: with a scheme the target's scheme, else protocol-relative or bare."""
-    source, target, mapped = cfg.col("source_host"), cfg.col("target_host"), cfg.has_host_map()
+    source, target = cfg.col("source_host"), cfg.col("target_host")
+    mapped = cfg.has_host_map() if active is None else active
     steps = (
         (_around("https?:" + SLASHES, source, NOT_AFTER), F.concat(cfg.col("target_scheme"), F.lit(":$1"), target)),
         (_around(SLASHES, source, NOT_AFTER), F.concat(F.lit("$1"), target)),
@@ -66,9 +68,10 @@ def rewrite_staging(text: Column, cfg: SiteConfig, active: Column | None = None)
     return F.regexp_replace(text, pattern if active is None else _where(active, pattern), new)
 
 
-def force_https(text: Column, cfg: SiteConfig) -> Column:
+def force_https(text: Column, cfg: SiteConfig, active: Column | None = None) -> Column:
     domain = cfg.col("site_domain")
-    pattern = _where(cfg.col("force_https") & (domain != ""), insecure_pattern(domain))
+    wanted = cfg.col("force_https") & (domain != "")
+    pattern = _where(wanted if active is None else wanted & active, insecure_pattern(domain))
     return F.regexp_replace(text, pattern, F.lit("https:$1$2"))
 
 
@@ -78,9 +81,19 @@ def rewrite_image_ext(text: Column) -> Column:
 
 
 def rewrite_chain(text: Column, cfg: SiteConfig) -> Column:
-    """Hosts (mapped, else from staging to production), then https, then image extensions."""
-    hosted = rewrite_staging(rewrite_host(text, cfg), cfg, ~cfg.has_host_map())
-    return rewrite_image_ext(force_https(hosted, cfg))
+    """Hosts (mapped, else from staging to production), then https, then image extensions.
+
+    A plain search of the lower-case text decides first which patterns can match at all; most texts need few.
+    """
+
+    def chained(whole: Column, lowered: Column) -> Column:
+        mapped = cfg.has_host_map() & F.contains(lowered, F.lower(cfg.col("source_host")))
+        staged = ~cfg.has_host_map() & F.contains(lowered, F.lower(F.concat(cfg.col("staging_label"), F.lit("."))))
+        hosted = rewrite_staging(rewrite_host(whole, cfg, mapped), cfg, staged)
+        # A mapped host may bring a new http URL.
+        return rewrite_image_ext(force_https(hosted, cfg, mapped | F.contains(lowered, F.lit("http:"))))
+
+    return bind(text, lambda whole: bind(F.lower(whole), lambda lowered: chained(whole, lowered)))
 
 
 def rewrite_srcset(value: Column) -> Column:
