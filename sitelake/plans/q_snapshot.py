@@ -142,8 +142,8 @@ def _prints(source, **kw):
     return tree_fingerprint(sn.merged_tree(_local(source), _kept(source)), **kw)
 
 
-@query(f"with {_LEVELS} select site, dir, sha from prints")
-def tree_fingerprint_folders(source):
+@query(f"with {_LEVELS} select site, dir, sha from prints", "tree_fingerprint")
+def tree_fingerprint_query(source):
     return _prints(source)
 
 
