@@ -238,7 +238,8 @@ def _sheets(source):
 
 
 @query(
-    f"with {_SHEETS} select r.site, {_PP} as page_path, '/' || path as href, css from [[rich]] r join sheets s on s.site = r.site and s.path = 'css/' || (r.page_id % 7) || '.css'"
+    # Captures that share a path are one page of the tree: their links count once.
+    f"with {_SHEETS} select distinct r.site, {_PP} as page_path, '/' || path as href, css from [[rich]] r join sheets s on s.site = r.site and s.path = 'css/' || (r.page_id % 7) || '.css'"
 )
 def inline_css(source):
     return cl.inline_css(_configured(source), _sheets(source), SiteConfig.from_columns())
