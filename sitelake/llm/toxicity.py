@@ -17,8 +17,8 @@ from sitelake.llm.logistic import Sparse, fit
 #: Production parameters.
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-SAMPLE = 16_000
-FEATURES = 1 << 14
+SAMPLE = 8_000
+FEATURES = 1 << 11
 THRESHOLD = 0.3
 
 
@@ -68,6 +68,12 @@ def _counts(orders: tuple[int, ...], bits: int):
     return run
 
 
+def _added(parts: pa.Table) -> pa.Table:
+    """The counts of one block, over all tasks; there are at most as many rows as tasks."""
+    sums = {name: sum(np.frombuffer(x.as_py(), np.int64) for x in parts.column(name)).tobytes() for name in ("clean", "toxic")}
+    return pa.table({"block": parts.column("block")[:1], **{name: [value] for name, value in sums.items()}})
+
+
 def _rows(orders: tuple[int, ...], bits: int, chosen: np.ndarray):
     """Per text: its label and the places in ``chosen`` of the buckets it has."""
 
@@ -96,15 +102,13 @@ def train_toxicity(sample: DataFrame, orders: tuple[int, ...] = ORDERS, bits: in
     the expected count) are the columns of a logistic regression on ratio-scaled presence. No rows, or one label only, give a
     model without features whose score is the (smoothed) share of the label.
     """
-    blocks: dict[int, np.ndarray] = {}
     width = min(1 << 14, 1 << bits)
-    counted = sample.select("text", "label").mapInArrow(_counts(orders, bits), "block long, clean binary, toxic binary")
-    for row in counted.toLocalIterator():
-        both = np.stack([np.frombuffer(row["clean"], np.int64), np.frombuffer(row["toxic"], np.int64)])
-        blocks[row["block"]] = blocks[row["block"]] + both if row["block"] in blocks else both
+    shape = "block long, clean binary, toxic binary"
+    counted = sample.select("text", "label").mapInArrow(_counts(orders, bits), shape).groupBy("block").applyInArrow(_added, shape)
     count = np.zeros((2, 1 << bits))
-    for block, both in blocks.items():
-        count[:, block * width : (block + 1) * width] = both
+    for row in counted.collect():  # the model's buckets, however many rows were learnt from
+        at = slice(row["block"] * width, (row["block"] + 1) * width)
+        count[0, at], count[1, at] = np.frombuffer(row["clean"], np.int64), np.frombuffer(row["toxic"], np.int64)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     ratio = np.log((count[1] + 1) / (toxic + 1)) - np.log((count[0] + 1) / (clean + 1))
