@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelake.llm.decontamination import contaminated
 from sitelake.llm.labelled import remainder
+from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
 from sitelake.llm.simhash import simhash_groups
 from sitelake.llm.toxicity import toxicity
 
@@ -14,6 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = find_secrets(docs, train_markov(labelled_strings(docs)))
+    fixed = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -25,5 +40,5 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_toxicity, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secrets, op8_toxicity, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
