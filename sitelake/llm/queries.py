@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.llm.decontamination import contaminated
 from sitelake.llm.labelled import remainder
+from sitelake.llm.packing import pack_digest
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
 from sitelake.llm.simhash import simhash_groups
 from sitelake.llm.toxicity import toxicity
@@ -20,6 +22,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = find_secrets(docs, train_markov(labelled_strings(docs)))
@@ -40,5 +46,5 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_secrets, op8_toxicity, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op8_toxicity, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
