@@ -9,8 +9,8 @@ from sitelake.session import cut_lineage
 
 
 def remainder(key: Column, divisor: int) -> Column:
-    """crc32 of the key as text, modulo ``divisor``."""
-    return F.crc32(key.cast("string").cast("binary")) % divisor
+    """crc32 of the key as text, modulo ``divisor``; -1 for null."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
@@ -28,3 +28,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return cut_lineage(texts.join(F.broadcast(known), "doc_id"), "labelled")
+
+
+def bounded_sample(docs: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, text) of the documents with the ``limit`` ids that hash lowest; null ids and texts are left out. Only ids are sorted."""
+    some = docs.select("doc_id").filter("doc_id is not null and text is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.llm.decontamination import contaminated
+from sitelake.llm.kneser_ney import kneser_ney_scores
 from sitelake.llm.labelled import remainder
 from sitelake.llm.packing import pack_digest
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
@@ -35,6 +36,12 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(fixed), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 7) == 2
+    scores = kneser_ney_scores(table(spark, folder, "documents"), ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -46,5 +53,5 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op8_toxicity, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op8_toxicity, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}

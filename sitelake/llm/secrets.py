@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sitelake.llm.labelled import bounded_sample
 from sitelake.session import cut_lineage
 
 # The patterns of the three kinds. An access key has 20 characters or more, a hex string 24: a shorter run of their characters
@@ -61,7 +62,7 @@ def labelled_strings(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     Random strings are digests of the texts in the alphabets that keys come in (hex, upper hex, base 64 and its variant for URLs). Ordinary identifiers are
     the texts' words, alone and joined as names in programs and addresses are, and plain numbers.
     """
-    chosen = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = bounded_sample(docs, limit)
     split = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9a-f]+$"))
     # Written, so that the words are cut once and not again for each use of one.
     chosen = cut_lineage(chosen.select("text", F.sha2("text", 256).alias("digest"), F.sha1("text").alias("short"), split.alias("words")), "labelled-strings")
