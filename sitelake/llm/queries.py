@@ -10,9 +10,11 @@ from sitelake.llm.decontamination import contaminated
 from sitelake.llm.kneser_ney import kneser_ney_scores
 from sitelake.llm.labelled import remainder
 from sitelake.llm.packing import pack_digest
+from sitelake.llm.rules import quality
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
 from sitelake.llm.simhash import simhash_groups
 from sitelake.llm.toxicity import toxicity
+from sitelake.llm.url_filter import judge_urls, seed_labels, train_urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +44,17 @@ def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return judge_urls(pages, train_urls(seed_labels(pages)), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = remainder(F.col("doc_id"), 5) == 0
+    return quality(docs, labels, ~held).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -53,5 +66,5 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op8_toxicity, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op6_url_filter, op7_quality_rules, op8_toxicity, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}

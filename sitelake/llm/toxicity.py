@@ -124,6 +124,23 @@ def train_toxicity(sample: DataFrame, orders: tuple[int, ...] = ORDERS, bits: in
     return ToxicityModel(orders, bits, chosen, weights * ratio[chosen], intercept)
 
 
+def _scorer(model: ToxicityModel):
+    """A function of a batch with a column ``text`` that gives the score of each row."""
+    dense = np.zeros(1 << model.bits)
+    dense[model.buckets] = model.weights
+    wanted = dense != 0
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        data, offsets = flat(batch.column("text"))
+        sums = np.full(batch.num_rows, model.intercept)
+        for a, b in chunks(offsets):
+            text, bucket = _present(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.orders, model.bits, wanted)
+            sums[a:b] += np.bincount(text, dense[bucket], b - a)
+        return 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
+
+    return scores
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text, any others): the chance that its whole text is toxic.
 
@@ -132,23 +149,28 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << model.bits)
-        dense[model.buckets] = model.weights
-        wanted = dense != 0
+        scores = _scorer(model)
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            sums = np.full(batch.num_rows, model.intercept)
-            for a, b in chunks(offsets):
-                text, bucket = _present(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], model.orders, model.bits, wanted)
-                sums[a:b] += np.bincount(text, dense[bucket], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch))], ["doc_id", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, score double")
 
 
+def drop_toxic_rows(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is below ``threshold``; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train=None, limit: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every document; learns from at most ``limit`` rows of ``labels`` (doc_id, toxic) with ``train``."""
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if train is None else train, limit)
     scored = score_toxicity(docs, train_toxicity(sample))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
