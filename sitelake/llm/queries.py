@@ -13,6 +13,7 @@ from sitelake.llm.packing import pack_digest
 from sitelake.llm.rules import quality
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
 from sitelake.llm.simhash import simhash_groups
+from sitelake.llm.topk import top_k
 from sitelake.llm.toxicity import toxicity
 from sitelake.llm.url_filter import judge_urls, seed_labels, train_urls
 
@@ -61,10 +62,28 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(docs, labels, ~held).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op6_url_filter, op7_quality_rules, op8_toxicity, op10_simhash_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup)}
+#: The search is the one whose whole result SQL states: every query against all rows.
+ORACLES = {
+    "op9_exact_topk": """
+        with vectors as (
+          select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as terms
+          from embeddings
+          where vec_id is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+        scored as (
+          select q.vec_id as query_id, d.vec_id,
+                 cast(list_sum(list_transform(list_zip(q.terms, d.terms), lambda p: p[1] * p[2])) as bigint) as score
+          from vectors q join vectors d on q.vec_id % 50 = 0 and q.vec_id <> d.vec_id),
+        ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 5""",
+}
