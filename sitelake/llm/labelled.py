@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return cut_lineage(texts.join(F.broadcast(known), "doc_id"), "labelled")
 
 
-def bounded_sample(docs: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, text) of the documents with the ``limit`` ids that hash lowest; null ids and texts are left out. Only ids are sorted."""
+def bounded_sample(docs: DataFrame, limit: int, *more: str) -> DataFrame:
+    """(doc_id, text and the columns ``more``) of the documents with the ``limit`` ids that hash lowest; null ids and texts are left out. Only ids are sorted."""
     some = docs.select("doc_id").filter("doc_id is not null and text is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
+    return docs.select("doc_id", "text", *more).filter("text is not null").join(F.broadcast(some), "doc_id")

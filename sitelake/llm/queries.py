@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sitelake.llm.decontamination import contaminated
 from sitelake.llm.kneser_ney import kneser_ney_scores
 from sitelake.llm.labelled import remainder
+from sitelake.llm.language import languages
 from sitelake.llm.packing import pack_digest
 from sitelake.llm.rules import quality
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
@@ -45,6 +46,10 @@ def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"), table(spark, folder, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return judge_urls(pages, train_urls(seed_labels(pages)), block=["net/", "example.com/de/"], allow=["example.net/en/", "org/fr/"])
@@ -71,7 +76,7 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op5_language, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup)}
 #: The search is the one whose whole result SQL states: every query against all rows.
 ORACLES = {
     "op9_exact_topk": """
