@@ -35,6 +35,8 @@ _NAMES = "(?<=[\\p{L}\\p{N},;:)] )\\p{Lu}[\\p{L}'’-]*+(?: \\p{Lu}[\\p{L}'’-]
 _DIGITS = "(?<![\\p{L}\\p{N}])\\p{Nd}++(?:[.,:/]\\p{Nd}++)*+"
 _MEASURES = f"({_DIGITS})[ -]?((?i:{_UNITS}))(?![\\p{{L}}\\p{{N}}])"
 _NUMBERS = f"{_DIGITS}(?![\\p{{L}}\\p{{N}}])"
+#: A text and a benchmark class; ``part`` tells texts under one doc_id apart.
+_PAIR = ["doc_id", "part", "class"]
 _TOKENS = f"[{_ALL}]|[\\p{{L}}\\p{{N}}]++"
 
 
@@ -82,12 +84,12 @@ def _windows(tokens: Column, n: int) -> Column:
 
 
 def _benchmark(benchmark: DataFrame, n: int) -> DataFrame:
-    """(item_id, items, tokens, slots) of each different pair of template and pattern of equal slots; ``item_id`` is the least of ``items``."""
+    """(class, item_id, items, tokens, slots) of each different pair of template and pattern of equal slots; ``item_id`` is the least of ``items``."""
     parsed = benchmark.select("item_id", template(F.col("text")).alias("tokens"), slots(F.col("text")).alias("slots")).filter(F.size("tokens") > 0)
     pattern = F.transform("slots", lambda s: F.array_position(F.transform("slots", lambda x: x["value"]), s["value"]))
     classes = parsed.withColumn("pattern", pattern).groupBy("tokens", "pattern")
     return classes.agg(F.min(F.struct("item_id", "slots")).alias("least"), F.array_sort(F.collect_set("item_id")).alias("items")).select(
-        "least.item_id", "items", "tokens", "least.slots"
+        F.xxhash64("tokens", "pattern").alias("class"), "least.item_id", "items", "tokens", "least.slots"
     )
 
 
@@ -101,36 +103,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     A document holds an item if at least ``share`` of the item's windows of ``window`` template tokens occur in it, or ``run`` tokens in a row,
     and if the slots agree: over all windows that match, each value of the item stands for one value in the document and the reverse.
     Windows of fewer than two literal tokens say nothing and are left out. Items shorter than a window match documents whose whole template is the
-    same. Null and empty texts hold nothing; rows of one doc_id are judged together; an empty table gives no rows.
+    same. Null and empty texts hold nothing; an empty table gives no rows. Different texts under one doc_id (null is an id like others) are judged each by
+    itself, and so are different items under one item_id; the closest of them gives the row.
     """
     items = cut_lineage(_benchmark(benchmark, window), "benchmark")
     literal = F.transform(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.size(F.filter(F.slice("tokens", i + 1, window), lambda t: ~t.rlike(f"^[{_ALL}]$"))) >= LITERALS)
-    hashed = items.select("item_id", "tokens", _windows(F.col("tokens"), window).alias("hashes"))
-    known = hashed.select("item_id", F.posexplode(F.arrays_zip("hashes", literal.alias("literal")))).filter("col.literal").select("item_id", F.col("pos").alias("ipos"), F.col("col.hashes").alias("hash"))
+    hashed = items.select("class", "tokens", _windows(F.col("tokens"), window).alias("hashes"))
+    known = hashed.select("class", F.posexplode(F.arrays_zip("hashes", literal.alias("literal")))).filter("col.literal").select("class", F.col("pos").alias("ipos"), F.col("col.hashes").alias("hash"))
     known = cut_lineage(known, "benchmark-windows")
-    totals = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    totals = known.groupBy("class").agg(F.count(F.lit(1)).alias("n_windows"))
 
-    tokens = docs.select("doc_id", template(F.col("text")).alias("tokens"))
-    rows = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), window)).alias("dpos", "hash"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("part"), template(F.col("text")).alias("tokens"))
+    rows = tokens.select("doc_id", "part", F.posexplode(_windows(F.col("tokens"), window)).alias("dpos", "hash"))
     small = known.count() <= BROADCAST_WINDOWS
-    matches = rows.join(F.broadcast(known) if small else known, "hash").select("doc_id", "item_id", "dpos", "ipos")
+    matches = rows.join(F.broadcast(known) if small else known, "hash").select(*_PAIR, "dpos", "ipos")
     matches = cut_lineage(matches.distinct(), "matched-windows")
 
-    pair = ["doc_id", "item_id"]
-    counted = matches.groupBy(*pair).agg(F.countDistinct("ipos").alias("matched")).join(totals, "item_id")
+    counted = matches.groupBy(*_PAIR).agg(F.countDistinct("ipos").alias("matched")).join(totals, "class")
     enough = F.least(F.ceil(F.col("n_windows") * share), F.lit(max(1, run - window + 1)))
     counted = counted.filter(F.col("matched") >= enough)
-    close = _null_safe(matches, counted, pair)
+    close = _null_safe(matches, counted, _PAIR)
     # Windows on one diagonal without a gap are a run.
-    line = Window.partitionBy(*pair, F.col("dpos") - F.col("ipos")).orderBy("ipos")
-    runs = close.withColumn("run", F.col("ipos") - F.row_number().over(line)).groupBy(*pair, (F.col("dpos") - F.col("ipos")).alias("diagonal"), "run")
-    longest = runs.agg(F.count(F.lit(1)).alias("n")).groupBy(*pair).agg((F.max("n") + window - 1).alias("run_tokens"))
-    judged = _null_safe(counted, longest, pair).withColumn("coverage", F.col("matched") / F.col("n_windows"))
+    line = Window.partitionBy(*_PAIR, F.col("dpos") - F.col("ipos")).orderBy("ipos")
+    runs = close.withColumn("run", F.col("ipos") - F.row_number().over(line)).groupBy(*_PAIR, (F.col("dpos") - F.col("ipos")).alias("diagonal"), "run")
+    longest = runs.agg(F.count(F.lit(1)).alias("n")).groupBy(*_PAIR).agg((F.max("n") + window - 1).alias("run_tokens"))
+    judged = _null_safe(counted, longest, _PAIR).withColumn("coverage", F.col("matched") / F.col("n_windows"))
     judged = cut_lineage(judged.filter((F.col("coverage") >= share) | (F.col("run_tokens") >= run)), "near-items")
     checked = _slot_check(docs, items, close, judged, window)
-    out = _null_safe(judged, checked, pair, "left").join(items.select("item_id", "items"), "item_id")
-    out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0).cast("long"))).withColumn("consistent", F.coalesce("consistent", F.lit(True)))
-    return out.filter("consistent").select(*pair, "items", "n_windows", "matched", "coverage", "run_tokens", "n_slots", "consistent")
+    out = _null_safe(judged, checked, _PAIR, "left").join(items.select("class", "item_id", "items"), "class")
+    out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0).cast("long"))).withColumn("consistent", F.coalesce("consistent", F.lit(True))).filter("consistent")
+    closest = F.max(F.struct("coverage", "run_tokens", "matched", "n_windows", "n_slots", "consistent", "items")).alias("c")
+    out = out.groupBy("doc_id", "item_id").agg(closest)
+    return out.select("doc_id", "item_id", *[f"c.{c}" for c in ("items", "n_windows", "matched", "coverage", "run_tokens", "n_slots", "consistent")])
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -140,21 +144,21 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def _slot_check(docs: DataFrame, items: DataFrame, matches: DataFrame, judged: DataFrame, window: int) -> DataFrame:
-    """(doc_id, item_id, n_slots, consistent) of those pairs whose matched windows hold slots."""
-    pair = ["doc_id", "item_id"]
-    asked = items.select("item_id", F.explode("slots").alias("s")).select("item_id", F.col("s.pos").alias("ipos"), F.col("s.value").alias("item_value"))
-    wide = _null_safe(matches, judged.select(*pair), pair).select(*pair, F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k"), "dpos", "ipos")
-    wide = wide.select(*pair, (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
-    met = cut_lineage(_null_safe(wide, asked, ["item_id", "ipos"]), "met-slots")
+    """(doc_id, part, class, n_slots, consistent) of those pairs whose matched windows hold slots."""
+    asked = items.select("class", F.explode("slots").alias("s")).select("class", F.col("s.pos").alias("ipos"), F.col("s.value").alias("item_value"))
+    wide = _null_safe(matches, judged.select(*_PAIR), _PAIR).select(*_PAIR, F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k"), "dpos", "ipos")
+    wide = wide.select(*_PAIR, (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
+    met = cut_lineage(wide.join(asked, ["class", "ipos"]), "met-slots")
     # Only documents in which a slot was met are read again.
-    again = _null_safe(docs.select("doc_id", "text"), met.select("doc_id").distinct(), ["doc_id"], "left_semi")
-    found = again.select("doc_id", slots(F.col("text")).alias("slots")).select("doc_id", F.explode("slots").alias("s"))
-    found = found.select("doc_id", F.col("s.pos").alias("dpos"), F.col("s.value").alias("value")).distinct()
-    both = _null_safe(met, found, ["doc_id", "dpos"])
-    per = both.groupBy(*pair).agg(
+    again = docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
+    again = _null_safe(again, met.select("doc_id", "part").distinct(), ["doc_id", "part"], "left_semi")
+    found = again.select("doc_id", "part", slots(F.col("text")).alias("slots")).select("doc_id", "part", F.explode("slots").alias("s"))
+    found = found.select("doc_id", "part", F.col("s.pos").alias("dpos"), F.col("s.value").alias("value")).distinct()
+    both = _null_safe(met, found, ["doc_id", "part", "dpos"])
+    per = both.groupBy(*_PAIR).agg(
         F.countDistinct("item_value").alias("n_slots"), F.countDistinct("value").alias("values"), F.countDistinct("item_value", "value").alias("mappings")
     )
-    return per.select(*pair, "n_slots", ((F.col("mappings") == F.col("n_slots")) & (F.col("mappings") == F.col("values"))).alias("consistent"))
+    return per.select(*_PAIR, "n_slots", ((F.col("mappings") == F.col("n_slots")) & (F.col("mappings") == F.col("values"))).alias("consistent"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
