@@ -29,6 +29,8 @@ class SiteConfig:
     keep_js: Setting = False
     script_allowlist: Setting = fv.SCRIPT_ALLOWLIST
     inline_css: Setting = True
+    #: Stylesheets with more bytes stay linked.
+    inline_css_max_bytes: Setting = fv.INLINE_CSS_MAX_BYTES
     font_display: Setting = True
     image_hints: Setting = True
     preload_fonts: Setting = ()
@@ -69,7 +71,7 @@ def _type_of(name: str) -> T.DataType:
         return T.ArrayType(T.StringType())
     if name in _FLAGS:
         return T.BooleanType()
-    return T.IntegerType() if name == "keep_exports" else T.StringType()
+    return T.IntegerType() if name in ("keep_exports", "inline_css_max_bytes") else T.StringType()
 
 
 SITE_CONFIG_SCHEMA = T.StructType(

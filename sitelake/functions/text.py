@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters a trim removes, the line ends, and the decoded entities.
+# The characters a trim removes, and the line ends.
 TRIMMED = " \t\n\r\0\x0b"
 LINE_END = r"\r\n|\r|\n"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+# An entity: a decimal or hexadecimal number, or one of the names of HTML 4.
+_ENTITY = "&(?:#0*+[1-9][0-9]{0,6}|#[xX]0*+[1-9a-fA-F][0-9a-fA-F]{0,5}|[a-zA-Z][a-zA-Z0-9]*+);"
+_NAMED = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
 
 
 def trimmed(text: Column) -> Column:
@@ -31,11 +35,19 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, LINE_END), trimmed), lambda row: row != "")
 
 
+def _character(entity: Column) -> Column:
+    """What an entity stands for; unknown names and numbers that are no printable character stay as written."""
+    digits = F.regexp_extract(entity, "^&#[xX]?0*(.*);$", 1)
+    code = F.when(F.regexp_like(entity, F.lit("^&#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    allowed = code.isin(9, 10, 13) | code.between(0x20, 0x7E) | code.between(0xA0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    by_number = F.when(allowed, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+    by_name = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), F.regexp_extract(entity, "^&(.*);$", 1))
+    return F.when(F.startswith(entity, F.lit("&#")), by_number).otherwise(F.coalesce(by_name, entity))
+
+
 def entity_decode(text: Column) -> Column:
-    """Decode the markup entities; the ampersand last, so nothing is decoded twice."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode numeric and named markup entities, each once."""
+    return replace_each(text, _ENTITY, _character)
 
 
 def quoted(text: Column) -> Column:

@@ -179,7 +179,7 @@ def staging_label(host: Column) -> Column:
 
 def is_sitemap(body: Column) -> Column:
     """Recognised by content: a sitemap root element within the first 2048 bytes."""
-    head = F.lower(F.substring(body, 1, fv.SITEMAP_HEAD))
+    head = F.lower(F.substring(body.cast("binary"), 1, fv.SITEMAP_HEAD).cast("string"))
     return head.contains(fv.SITEMAP_ROOTS[0]) | head.contains(fv.SITEMAP_ROOTS[1])
 
 
@@ -258,5 +258,5 @@ def leaves_site(path: Column) -> Column:
 def is_crawlable(
     host: Column, path: Column, query: Column, site: Column, excludes: Column | None = None
 ) -> Column:
-    """Internal, not denied, no feed, no page with a query. Cheap tests come first."""
-    return (host == site) & ~denied(path, excludes) & ~is_feed(path) & ~is_query_page(path, query)
+    """Internal, not denied, no feed, no page with a query, not out of the site. Cheap tests come first."""
+    return (host == site) & ~denied(path, excludes) & ~is_feed(path) & ~is_query_page(path, query) & ~leaves_site(path)

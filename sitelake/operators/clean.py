@@ -151,7 +151,7 @@ def _edit_tags(tokens: Column, pattern: str, edit, active: Column | None = None)
 def strip_handlers(tokens: Column, cfg: SiteConfig) -> Column:
     """Drop attributes whose name starts with ``on``."""
     drop = lambda items: F.filter(items, lambda item: ~F.startswith(mk.attribute_name(item), F.lit("on")))
-    return _edit_tags(tokens, r"(?i)\son", drop, ~cfg.col("keep_js"))
+    return _edit_tags(tokens, r"""(?i)[\s/"']on""", drop, ~cfg.col("keep_js"))
 
 
 def strip_js_refs(tokens: Column, cfg: SiteConfig) -> Column:
@@ -177,7 +177,7 @@ def promote_lazy(tokens: Column) -> Column:
         promoted = bind(real(items, "src", fv.LAZY_SRC), lambda x: real(x, "srcset", fv.LAZY_SRCSET))
         return F.filter(promoted, lambda item: ~mk.attribute_name(item).isin(*fv.LAZY_SRC, *fv.LAZY_SRCSET))
 
-    return _edit_tags(tokens, r"(?i)\sdata-(?:lazy-)?src", edit)
+    return _edit_tags(tokens, r"""(?i)[\s/"']data-(?:lazy-)?src""", edit)
 
 
 def rename_images(tokens: Column) -> Column:
@@ -197,7 +197,7 @@ def rename_images(tokens: Column) -> Column:
 
         return bind(mk.attribute_name(item), renamed)
 
-    return _edit_tags(tokens, r"(?i)\.(?:png|jpe?g)|\ssrcset", lambda items: F.transform(items, of))
+    return _edit_tags(tokens, r"""(?i)\.(?:png|jpe?g)|[\s/"']srcset""", lambda items: F.transform(items, of))
 
 
 def hint_images(tokens: Column, sizes: Column, cfg: SiteConfig) -> Column:
@@ -417,7 +417,7 @@ def lookup_targets(
     if stylesheets is not None:
         size = F.octet_length("body")
         found.append(
-            stylesheets.filter((size > 0) & (size <= fv.INLINE_CSS_MAX_BYTES)).select(
+            stylesheets.filter((size > 0) & (size <= cfg.col("inline_css_max_bytes"))).select(
                 "site", "path", F.lit("style").alias("kind"), inlined_css(F.col("body"), F.col("path"), cfg).alias("css"),
                 F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"),
             )
@@ -522,8 +522,10 @@ def clean_pages(
         "_chained": rewrite_chain(F.col("_loaded"), cfg),
         "cleaned": F.concat(without_blank_lines(F.col("_chained")), F.lit("\n")),
     }
-    # One selection whose later columns read the earlier ones.
-    return rows.select("*", *[step.alias(name) for name, step in steps.items()]).select(*pages.columns, "cleaned")
+    # Each selection's later columns read its earlier ones. There are two, since the analyzer resolves nested functions
+    # level by level, in a bounded number of rounds for each.
+    named = [step.alias(name) for name, step in steps.items()]
+    return rows.select("*", *named[:2]).select("*", *named[2:]).select(*pages.columns, "cleaned")
 
 
 def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = None) -> DataFrame:

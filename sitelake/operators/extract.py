@@ -166,7 +166,7 @@ def element_refs(html: Column) -> Column:
     placed = F.transform(
         markup.tags(markup.visible_markup(html)),
         lambda tag, i: F.when(
-            ~F.startswith(tag, F.lit("</")) & F.regexp_like(tag, F.lit(r"(?i)\s(?:href|src|srcset)\s*=")), of_tag(tag, i)
+            ~F.startswith(tag, F.lit("</")) & F.regexp_like(tag, F.lit(r"""(?i)[\s/"'](?:href|src|srcset)\s*=""")), of_tag(tag, i)
         ),
     )
     return F.flatten(F.filter(placed, lambda refs: refs.isNotNull()))

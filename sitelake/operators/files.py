@@ -19,9 +19,9 @@ def utf8_warnings(files: DataFrame) -> DataFrame:
 
 
 def allowed_script(text: Column, cfg: SiteConfig) -> Column:
-    """The text contains an entry of the script allow-list, in any case."""
+    """The text contains an entry of the script allow-list, in any case; blank entries name no script."""
     lowered = F.lower(text)
-    return F.exists(cfg.col("script_allowlist"), lambda entry: F.contains(lowered, F.lower(entry)))
+    return F.exists(cfg.col("script_allowlist"), lambda entry: ~is_blank(entry) & F.contains(lowered, F.lower(entry)))
 
 
 def _folders(path: Column) -> Column:

@@ -53,7 +53,13 @@ INPUTS = {
             '<video poster="/v/p.jpeg" src="v.mp4"></video><textarea> a  <i onclick="n"> b </textarea><pre> x  y </pre>', chr(160), ' ', chr(160), 'z',
             '<p>', case when page_id % 8 = 0 then concat('https://admin.', site, '/s') else '' end, '</p>',
             case when page_id % 6 = 0 then '<h1>second</h1>' else '' end, chr(10), chr(10), ' ', chr(13), chr(10), 'end') as body
-          from [[sited]]) t""",
+          from [[untitled]]) t""",
+    # Some pages without a title, a language or a main heading.
+    "untitled": """
+        select page_id, url, site, url_path,
+               case when page_id % 14 = 3 then replace(html, '<title>', '<title> </title><title>') when page_id % 15 = 4 then replace(html, '<html lang', '<html data-lang')
+                    when page_id % 16 = 5 then replace(html, '<h1', '<h4') else html end as html
+        from [[sited]]""",
     # Three sites of linked pages: page i links to 2i+1 and 2i+2; pages below every eleventh are cut off.
     "linked": """
         select page_id, concat('s', page_id % 3, '.example.com') as site, cast(floor(page_id / 3) as bigint) as i,
@@ -150,28 +156,14 @@ def _with_clause(sql: str, table) -> str:
     return f"with {ctes} {render(sql)}"
 
 
-# Tables whose rows stand for long texts: few splits of them keep a core busy for long.
-_TEXT_HEAVY = ("pages", "supplier")
-
-
-def _spread(table: DataFrame) -> DataFrame:
-    """Give every core a share of a table that comes in fewer splits than cores.
-
-    A large table has many splits and is left alone.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
-
-
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table or a derived input as DataFrame."""
     if name not in INPUTS:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     def view(table: str) -> str:
-        rows = load(spark, folder, table)
         key = f"given_{table}_{zlib.crc32(folder.encode()):08x}"
-        (_spread(rows) if table in _TEXT_HEAVY else rows).createOrReplaceTempView(key)
+        load(spark, folder, table).createOrReplaceTempView(key)
         return key
 
     return spark.sql(_with_clause(f"select * from [[{name}]]", view))

@@ -153,3 +153,56 @@ def test_whole_pass(spark):
         '<img src="/i/a.webp" width="4" height="5" decoding="async" fetchpriority="high">  '
         '<a href="https://www.shop.com/">x</a></body></html>\n'
     )
+
+
+# --- pages as found in the wild
+
+
+MANY = "<img " + " ".join(f'a{i}="{i}"' for i in range(100_000)) + " src='x.png' alt onerror=\"x()\">"
+
+
+def test_tags_with_very_many_attributes(value):
+    assert value(lambda t: mk.attr(t, "src"), MANY) == "x.png" and value(lambda t: mk.attr(t, "none"), MANY) == ""
+    assert value(lambda t: mk.has_attr(t, "alt"), MANY) is True and value(lambda t: mk.has_attr(t, "none"), MANY) is False
+    for cut in (mk.tokens, mk.tags, lambda t: mk.tags(t, "img")):
+        assert value(cut, MANY) == [MANY]
+    assert value(mk.visible_markup, MANY) == MANY
+    assert value(lambda t: F.size(mk.attributes(t)), MANY) == 100_003
+    assert "onerror" not in on_tokens(value, lambda t: cl.strip_handlers(t, CFG), MANY)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a ="', "<script x ", "<noscript ", "<!--", "<a \"'>", "<", "</"])
+def test_unclosed_tags_take_linear_time(value, part):
+    import time
+
+    def seconds(n):
+        start = time.time()
+        assert value(lambda t: F.array_join(mk.tokens(t), ""), part * n) == part * n
+        value(lambda t: F.size(mk.tags(mk.visible_markup(t))), part * n)
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(800_000) < 60  # squared, the smaller half of it took hours
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ('<img/src="a.png"/onerror="x()">', '<img/src="a.png">'),
+        ('<a href="x"onclick="go()">', '<a href="x">'),
+        ("<a title=' on' href=x>", "<a title=' on' href=x>"),
+    ],
+)
+def test_handlers_without_white_space_before(value, html, expected):
+    assert on_tokens(value, lambda t: cl.strip_handlers(t, CFG), html) == expected
+
+
+def test_a_tag_that_the_text_ends_in_is_none(value):
+    assert value(mk.tags, "<p>a<b c='>") == ["<p>"] and value(mk.tokens, "<p>a<b c='>") == ["<p>", "a", "<b c='>"]
+    assert value(mk.tags, """<a " href=x><b>""") == ["""<a " href=x>""", "<b>"]
+
+
+def test_policy_is_not_put_into_a_comment(value):
+    page = "<!-- <head> --><script>'<head>'</script><html><head><title>t</title></head>"
+    out = value(lambda h: cl.inject_csp(h, CFG), page)
+    assert out.startswith("<!-- <head> --><script>'<head>'</script><html><head><meta ") and out.endswith("<title>t</title></head>")

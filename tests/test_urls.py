@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sitelake.config import SiteConfig
 from sitelake.functions import urls
+from sitelake.functions.text import entity_decode
+from sitelake.functions.urls import internal_href_path, is_crawlable, is_sitemap
 
 BASE = "https://h.com"
 
@@ -169,3 +171,39 @@ def test_lang_slug(value, url, expected):
 def test_sitemap_is_recognised_in_the_first_part_only(value):
     assert value(urls.is_sitemap, "<?xml?><UrlSet>") is True
     assert value(urls.is_sitemap, " " * 2048 + "<urlset>") is False
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("/tom-&#038;-jerry.html", "/tom-&-jerry.html"),
+        ("&#x26;&#X26;&#38;", "&&&"),
+        ("/a&eacute;.html &lt;&gt;&quot;&#039;", "/aé.html <>\"'"),
+        ("&amp;amp; &amp;#38; &#38;lt;", "&amp; &#38; &lt;"),
+        ("&#128512;&#x1F600;", "😀😀"),
+        ("&#0; &#xD800; &#x110000; &#150; &nosuch; &amp &; &#; &#x;", "&#0; &#xD800; &#x110000; &#150; &nosuch; &amp &; &#; &#x;"),
+    ],
+)
+def test_entities_are_decoded_once(value, text, expected):
+    assert value(entity_decode, text) == expected
+
+
+def test_links_with_entities_find_their_files(value):
+    assert value(lambda h: internal_href_path(h, F.lit("p/index.html"), SiteConfig()), "/tom-&#038;-jerry.html") == "tom-&-jerry.html"
+
+
+def test_sitemap_head_is_counted_in_bytes(value):
+    assert value(is_sitemap, "é" * 1020 + "<urlset>") is True
+    assert value(is_sitemap, "é" * 1021 + "<urlset>") is False
+
+
+def test_blank_entries_allow_no_script(value):
+    from sitelake.operators.files import allowed_script
+
+    assert value(lambda t: allowed_script(t, SiteConfig(script_allowlist=("", " "))), "a.js") is False
+    assert value(lambda t: allowed_script(t, SiteConfig(script_allowlist=("", "FUSE"))), "fuse.js") is True
+
+
+def test_urls_that_leave_the_site_are_not_crawlable(value):
+    ok = lambda path: value(lambda p: is_crawlable(F.lit("h"), p, F.lit(""), F.lit("h")), path)
+    assert ok("/a/b") is True and ok("/a/%2e%2e/b") is False
