@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sitelake import fixed_values as fv
 from sitelake.functions.text import lines
 from sitelake.operators.extract import with_site
+from sitelake.session import cut_lineage
 
 PAGES = T.StructType(
     [
@@ -121,8 +122,11 @@ def write_findings(findings: DataFrame, broken: DataFrame, path: str) -> None:
 def report_lines(findings: DataFrame, broken: DataFrame) -> DataFrame:
     """The report per site as ordered lines (site, section, line_no, line): header with count, then the entries.
 
-    Counts come from grouped sums; the entries keep their own order columns, so nothing is gathered.
+    Counts come from grouped sums; the entries keep their own order columns, so nothing is gathered. Both inputs are
+    written down once, as they are read several times and stand for a pass over all page texts each.
     """
+    findings = cut_lineage(findings.select("site", "code", "page_path", "detail"), "findings")
+    broken = cut_lineage(broken.select("site", "page_path", "ref"), "broken-links")
     sites = findings.select("site").union(broken.select("site")).distinct()
 
     def section(rows: DataFrame, number: int, title: str, none: str, line: Column) -> DataFrame:
