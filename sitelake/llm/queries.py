@@ -14,9 +14,11 @@ from sitelake.llm.packing import pack_digest
 from sitelake.llm.rules import quality
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
 from sitelake.llm.simhash import simhash_groups
+from sitelake.llm.spelling import document_spelling
 from sitelake.llm.topk import top_k
 from sitelake.llm.toxicity import toxicity
 from sitelake.llm.url_filter import judge_urls, seed_labels, train_urls
+from sitelake.llm.whitening import whiten
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,7 +78,15 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op5_language, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup)}
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return document_spelling(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), k=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op5_language, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup, op12_spelling, op13_whitening)}
 #: The search is the one whose whole result SQL states: every query against all rows.
 ORACLES = {
     "op9_exact_topk": """
