@@ -10,6 +10,7 @@ from sitelake.llm.decontamination import contaminated
 from sitelake.llm.kneser_ney import kneser_ney_scores
 from sitelake.llm.labelled import remainder
 from sitelake.llm.language import languages
+from sitelake.llm.minhash import minhash_groups
 from sitelake.llm.packing import pack_digest
 from sitelake.llm.rules import quality
 from sitelake.llm.secrets import KINDS, find_secrets, labelled_strings, train_markov
@@ -78,6 +79,10 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_groups(table(spark, folder, "documents"))
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return document_spelling(table(spark, folder, "documents"))
 
@@ -86,7 +91,7 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), k=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op5_language, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup, op12_spelling, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_kneser_ney, op5_language, op6_url_filter, op7_quality_rules, op8_toxicity, op9_exact_topk, op10_simhash_dedup, op11_minhash_dedup, op12_spelling, op13_whitening)}
 #: The search is the one whose whole result SQL states: every query against all rows.
 ORACLES = {
     "op9_exact_topk": """
