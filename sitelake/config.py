@@ -92,16 +92,60 @@ def complete_config(config: DataFrame) -> DataFrame:
     return config.select("site", *filled)
 
 
-def with_config(rows: DataFrame, config: DataFrame) -> DataFrame:
+#: A site with more than one in so many rows, for each shuffle partition, is heavy. Fewer sites than that number can be.
+_SHARES = 16
+
+
+def heavy_sites(rows: DataFrame) -> DataFrame:
+    """(site, parts): how many parts each heavy site's rows are dealt out to, so that a part is a small share of a partition.
+
+    With s = 16 * shuffle partitions, a site is heavy if it has more than one in s rows. So there are fewer than s heavy sites, of at most s parts each
+    and fewer than 2 * s in all; the rows are counted without their texts, combined before the shuffle.
+    """
+    shares = _SHARES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
+    shared = counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").filter(F.col("n") * shares > F.col("total"))
+    return shared.select("site", F.ceil(F.col("n") * shares / F.col("total")).alias("parts"))
+
+
+def with_config(rows: DataFrame, config: DataFrame, *spread: str, heavy: DataFrame | None = None) -> DataFrame:
     """Every row sees its site's settings; rows of unknown sites get the defaults.
 
     No broadcast hint: Spark broadcasts the table when its measured size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise joins by shuffle, where adaptive
     execution splits the partition of a dominant site on the row side.
+
+    With ``spread``, columns that tell a site's rows apart, no partition depends on that: the rows of heavy sites are dealt out to parts by these
+    columns, and the settings of such a site are repeated for each of its parts. ``heavy`` may give the heavy sites, where they were found before (see ``heavy_sites``).
     """
     defaults = SiteConfig()
-    joined = rows.join(complete_config(config), "site", "left")
+    settings, wide, keys = complete_config(config), rows, ["site"]
+    if spread:
+        heavy = F.broadcast((heavy_sites(rows) if heavy is None else heavy).withColumnRenamed("parts", "_parts"))
+        part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0))
+        wide = rows.join(heavy, "site", "left").withColumn("_part", part).drop("_parts")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+        settings, keys = settings.join(heavy, "site", "left").withColumn("_part", copies).drop("_parts"), ["site", "_part"]
+    joined = wide.join(settings, keys, "left")
     return joined.select(
         *rows.columns,
         *[F.coalesce(F.col(f.name), defaults.col(f.name)).alias(f.name) for f in fields(SiteConfig)],
     )
+
+
+def with_config_by_key(
+    rows: DataFrame, config: DataFrame, *keys: str, heavy: DataFrame | None = None, beside: DataFrame | None = None
+) -> DataFrame:
+    """As ``with_config`` for rows with long texts, told apart by site and ``keys``: the settings come to the narrow keys first.
+
+    Then the texts move once, to the unique key, where no site is heavy. ``beside`` may hold more columns per site and keys,
+    which come along in the same join. Null keys count as equal.
+    """
+    named = ["site", *keys]
+    narrow = with_config(rows.select(*named).distinct(), config, *keys, heavy=heavy)
+    if beside is not None:
+        narrow = narrow.join(beside, named, "left")
+    renamed = narrow.withColumnsRenamed({name: f"_{name}" for name in named})
+    met = [rows[name].eqNullSafe(renamed[f"_{name}"]) for name in named]
+    return rows.join(renamed, met, "left").drop(*[f"_{name}" for name in named])

@@ -76,6 +76,8 @@ CSS_CHARSET = r"(?i)@charset[^;]*;"
 CSS_URL_PARTS = r"""(?i)(url\(\s*["']?)([^"')\s]+)(["']?\s*\))"""
 CSS_ROOTED_URL = r"(?i)^(data:|https?:|//|/|#)"
 IMAGE_EXTENSION_AT_END = r"(?i)\.(png|jpe?g)$"
+# The image endings that are renamed, as the oracle's engine writes them: it knows no look-ahead, so the sign that ends the name is kept.
+ORACLE_IMAGE_END = r"""(?i)[.](png|jpe?g)(["'),?#<>]|\n?\z)"""
 FONT_ORIGINS = ("https://fonts.googleapis.com", "https://fonts.gstatic.com")
 ANALYTICS_LOADER = "https://www.googletagmanager.com/gtag/js?id="
 ANALYTICS_MARK = "googletagmanager.com/gtag/js"

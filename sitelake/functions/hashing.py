@@ -21,11 +21,6 @@ def blob_sha(body: Column) -> Column:
     return object_sha("blob", body)
 
 
-def tree_entry_hex(mode: Column, name: Column, sha: Column) -> Column:
-    """One folder entry, as hex so that a folder is a plain string join."""
-    return F.lower(F.concat(F.hex(as_bytes(F.concat(mode, F.lit(" "), name))), F.lit("00"), sha))
-
-
-def tree_sha(entries_hex: Column) -> Column:
-    """Hash of a folder from its sorted entries (array of hex strings)."""
-    return object_sha("tree", F.unhex(F.array_join(entries_hex, "")))
+def tree_entry(mode: Column, name: Column, sha: Column) -> Column:
+    """One folder entry as BINARY: ``<mode> <name>`` NUL and the 20 bytes of the hash."""
+    return F.concat(as_bytes(F.concat(mode, F.lit(" "), name)), F.unhex(F.lit("00")), F.unhex(sha))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
-from sitelake.config import SiteConfig
+from sitelake.config import SiteConfig, heavy_sites, with_config, with_config_by_key
 from sitelake.functions import markup as mk
 from sitelake.functions.paths import extension, file_class, webp_path
 from sitelake.functions.rewrite import (
@@ -27,6 +27,7 @@ from sitelake.functions.rewrite import (
 from sitelake.functions.text import bind, entity_decode, is_blank, is_empty, trimmed
 from sitelake.functions.urls import internal_href_path, is_sitemap
 from sitelake.operators.files import allowed_script, kept_in_tree
+from sitelake.session import cut_lineage
 
 KEYS = ["site", "page_path"]
 
@@ -384,10 +385,13 @@ def _candidates(kind: Column, path: Column) -> Column:
     return F.when(made, F.concat(F.array(path), originals)).otherwise(F.array(path))
 
 
-def page_lookups(pages: DataFrame, cfg: SiteConfig, styles: bool = True, images: bool = True) -> DataFrame:
+def page_lookups(
+    pages: DataFrame, cfg: SiteConfig, styles: bool = True, images: bool = True, config: DataFrame | None = None, heavy: DataFrame | None = None
+) -> DataFrame:
     """What pages look up in other files, in one pass over their text: (site, page_path, kind, key, rank, path).
 
-    Two captures may share a path; their look-ups count once.
+    Two captures may share a path; their look-ups count once. The pages hold the columns that ``cfg`` reads, unless ``config``
+    gives every site's settings, which then meet the look-ups and not the texts.
     """
 
     def of_kind(kind: str, keys: Column) -> Column:
@@ -398,7 +402,11 @@ def page_lookups(pages: DataFrame, cfg: SiteConfig, styles: bool = True, images:
         parts.append(of_kind("style", _sheet_hrefs(F.col("html"))))
     if images:
         parts.append(of_kind("image", _unsized_sources(F.col("html"))))
-    listed = pages.select("*", F.inline(F.concat(*parts)))
+    if config is None:
+        listed = pages.select("*", F.inline(F.concat(*parts)))
+    else:
+        refs = pages.select(*KEYS, F.concat(*parts).alias("_refs"))
+        listed = with_config(refs, config, "page_path", heavy=heavy).select("*", F.inline("_refs"))
     path = internal_href_path(F.col("_key"), F.col("page_path"), cfg)
     # A generator again, so that the path is resolved once and not once more in a filter.
     aimed = listed.select(
@@ -409,48 +417,66 @@ def page_lookups(pages: DataFrame, cfg: SiteConfig, styles: bool = True, images:
     return tried.distinct()
 
 
+def _inlinable(stylesheets: DataFrame, cfg: SiteConfig, config: DataFrame | None) -> DataFrame:
+    """(site, path) of the stylesheets that are small enough to be inlined; their texts stay where they are."""
+    size = F.octet_length("body")
+    if config is not None:
+        stylesheets = with_config(stylesheets.select("site", "path", size.alias("_size")), config)
+        size = F.col("_size")
+    return stylesheets.filter((size > 0) & (size <= cfg.col("inline_css_max_bytes"))).select("site", "path")
+
+
+def _prepared(stylesheets: DataFrame, used: DataFrame, cfg: SiteConfig, config: DataFrame | None) -> DataFrame:
+    """(site, path, css) of the stylesheets named in ``used`` (site, path), each prepared once."""
+    if config is None:
+        sheets = stylesheets.join(used, ["site", "path"], "left_semi")
+    else:
+        sheets = stylesheets.select("site", "path", "body").join(with_config(used, config), ["site", "path"])
+    return sheets.select("site", "path", inlined_css(F.col("body"), F.col("path"), cfg).alias("css"))
+
+
 def lookup_targets(
-    stylesheets: DataFrame | None, dims: DataFrame | None, cfg: SiteConfig
+    stylesheets: DataFrame | None, dims: DataFrame | None, cfg: SiteConfig, config: DataFrame | None = None
 ) -> DataFrame:
-    """What can be found: (site, path, kind, css, width, height). Each small stylesheet is prepared once, here."""
+    """What can be found: (site, path, kind, width, height); stylesheets are named here and brought later."""
     found = []
     if stylesheets is not None:
-        size = F.octet_length("body")
-        found.append(
-            stylesheets.filter((size > 0) & (size <= cfg.col("inline_css_max_bytes"))).select(
-                "site", "path", F.lit("style").alias("kind"), inlined_css(F.col("body"), F.col("path"), cfg).alias("css"),
-                F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"),
-            )
-        )
+        none = F.lit(None).cast("int")
+        named = _inlinable(stylesheets, cfg, config)
+        found.append(named.select("site", "path", F.lit("style").alias("kind"), none.alias("width"), none.alias("height")))
     if dims is not None:
         found.append(
             dims.filter("width > 0 and height > 0").select(
-                "site", "path", F.lit("image").alias("kind"), F.lit(None).cast("string").alias("css"),
-                F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"),
+                "site", "path", F.lit("image").alias("kind"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")
             )
         )
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def _looked_up(pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None, dims: DataFrame | None) -> DataFrame:
+def _looked_up(
+    pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None, dims: DataFrame | None, config: DataFrame | None = None, heavy: DataFrame | None = None
+) -> DataFrame:
     """Look-ups with what they found. A file used by every page of a large site is a hot key, which adaptive
     execution splits on the side of the pages."""
-    wanted = page_lookups(pages, cfg, stylesheets is not None, dims is not None)
-    return wanted.join(lookup_targets(stylesheets, dims, cfg), ["site", "path", "kind"])
+    wanted = page_lookups(pages, cfg, stylesheets is not None, dims is not None, config, heavy)
+    return wanted.join(lookup_targets(stylesheets, dims, cfg, config), ["site", "path", "kind"])
 
 
-def inline_css(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig) -> DataFrame:
+def inline_css(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig, config: DataFrame | None = None) -> DataFrame:
     """Small internal stylesheets of each page, ready to be placed: (site, page_path, href, css)."""
-    return _looked_up(pages, cfg, stylesheets, None).select(*KEYS, F.col("key").alias("href"), "css")
+    found = _looked_up(pages, cfg, stylesheets, None, config).select(*KEYS, F.col("key").alias("href"), "path")
+    found = cut_lineage(found, "sheets-of-pages")
+    css = _prepared(stylesheets, found.select("site", "path").distinct(), cfg, config)
+    return found.join(css, ["site", "path"]).select(*KEYS, "href", "css")
 
 
-def image_dims(pages: DataFrame, dims: DataFrame, cfg: SiteConfig) -> DataFrame:
+def image_dims(pages: DataFrame, dims: DataFrame, cfg: SiteConfig, config: DataFrame | None = None) -> DataFrame:
     """Sizes of the images that lack one: (site, page_path, src, width, height).
 
     ``src`` is the value after lazy loading and renaming; the first candidate with a size decides.
     """
     best = F.min(F.struct("rank", "width", "height")).alias("best")
-    found = _looked_up(pages, cfg, None, dims).groupBy(*KEYS, F.col("key").alias("src")).agg(best)
+    found = _looked_up(pages, cfg, None, dims, config).groupBy(*KEYS, F.col("key").alias("src")).agg(best)
     return found.select(*KEYS, "src", "best.width", "best.height")
 
 
@@ -458,27 +484,58 @@ _NO_STYLES = "map<string,string>"
 _NO_SIZES = "map<string,struct<width:int,height:int>>"
 
 
-def with_assets(
-    pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None = None, dims: DataFrame | None = None
-) -> DataFrame:
-    """Pages with the maps ``styles`` and ``sizes`` of what they look up.
+def _bundles(named: DataFrame, stylesheets: DataFrame, cfg: SiteConfig, config: DataFrame | None) -> DataFrame:
+    """(site, sheets, styles): each different set of stylesheets of a site's pages with its texts, as a map from href.
 
-    One pass over the text finds all look-ups; they meet the files and come back as one row per page, whose
-    size is the number of look-ups of that page. The text itself moves once at most, for the last join.
+    Pages of a site share few sets, so a stylesheet's text is gathered once a set and not once a page.
     """
-    if stylesheets is None and dims is None:
-        return pages.withColumns({"styles": F.lit(None).cast(_NO_STYLES), "sizes": F.lit(None).cast(_NO_SIZES)})
-    entry = F.struct("kind", "key", "rank", "css", F.struct("width", "height").alias("size"))
-    found = _looked_up(pages, cfg, stylesheets, dims).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    sets = named.select("site", "sheets").filter(F.size("sheets") > 0).distinct()
+    listed = sets.select("site", "sheets", F.inline("sheets"))
+    css = _prepared(stylesheets, listed.select("site", "path").distinct(), cfg, config)
+    texts = F.map_from_entries(F.collect_list(F.struct("key", "css"))).alias("styles")
+    return listed.join(css, ["site", "path"]).groupBy("site", "sheets").agg(texts)
+
 
-    def first_of(kind: str, field: str) -> Column:
-        mine = F.filter("found", lambda e: e["kind"] == kind)
-        # Sorted by key and rank: the first entry of a key is the best one.
-        best = bind(mine, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["key"] != e["key"])))
-        return F.map_from_entries(F.transform(best, lambda e: F.struct(e["key"], e[field])))
+def with_assets(
+    pages: DataFrame,
+    cfg: SiteConfig,
+    stylesheets: DataFrame | None = None,
+    dims: DataFrame | None = None,
+    config: DataFrame | None = None,
+    heavy: DataFrame | None = None,
+) -> DataFrame:
+    """Pages with the maps ``styles`` and ``sizes`` of what they look up, and with ``config`` their site's settings.
 
-    maps = found.select(*KEYS, first_of("style", "css").alias("styles"), first_of("image", "size").alias("sizes"))
-    return pages.join(maps, KEYS, "left")
+    One pass over the text finds all look-ups; they meet the names of the files and come back as one row per page, whose
+    size is the number of look-ups of that page. These rows are written, so that the pass is not repeated for the sets. Stylesheets' texts are brought last, by
+    set (see ``_bundles``). With ``config`` the settings, too, come to narrow rows; so a page's text moves once, in the last join, to its unique key.
+    """
+    maps = None
+    if config is not None:
+        heavy = cut_lineage(heavy_sites(pages), "heavy-sites") if heavy is None else heavy
+    if stylesheets is not None or dims is not None:
+        entry = F.struct("kind", "key", "rank", "path", F.struct("width", "height").alias("size"))
+        found = _looked_up(pages, cfg, stylesheets, dims, config, heavy).groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("found"))
+
+        def first_of(kind: str, *wanted: str) -> Column:
+            mine = F.filter("found", lambda e: e["kind"] == kind)
+            # Sorted by key and rank: the first entry of a key is the best one.
+            best = bind(mine, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["key"] != e["key"])))
+            return F.transform(best, lambda e: F.struct(*[e[name].alias(name) for name in wanted]))
+
+        maps = found.select(*KEYS, first_of("style", "key", "path").alias("sheets"), F.map_from_entries(first_of("image", "key", "size")).alias("sizes"))
+        maps = cut_lineage(maps, "assets")
+        if stylesheets is None:
+            maps = maps.select(*KEYS, F.lit(None).cast(_NO_STYLES).alias("styles"), "sizes")
+        else:
+            maps = maps.join(_bundles(maps, stylesheets, cfg, config), ["site", "sheets"], "left").select(*KEYS, "styles", "sizes")
+    if config is not None:
+        rows = with_config_by_key(pages, config, "page_path", heavy=heavy, beside=maps)
+    else:
+        rows = pages if maps is None else pages.join(maps, KEYS, "left")
+    if maps is None:
+        return rows.withColumns({"styles": F.lit(None).cast(_NO_STYLES), "sizes": F.lit(None).cast(_NO_SIZES)})
+    return rows
 
 
 # --- the whole pass -------------------------------------------------------------------------------
@@ -492,21 +549,27 @@ def scripts_and_styles(tokens: Column, styles: Column, cfg: SiteConfig) -> Colum
     return unwrap_noscript(attributes, cfg)
 
 
-def inlined_pages(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig) -> DataFrame:
+def inlined_pages(pages: DataFrame, stylesheets: DataFrame, cfg: SiteConfig, config: DataFrame | None = None) -> DataFrame:
     """Pages with their small stylesheets in place of the links, and nothing else changed."""
-    rows = with_assets(pages, cfg, stylesheets)
+    rows = with_assets(pages, cfg, stylesheets, config=config)
     placed = inline_styles(mk.tokens(F.col("html")), F.col("styles"), cfg)
-    return rows.withColumn("html", F.array_join(placed, "")).drop("styles", "sizes")
+    return rows.withColumn("html", F.array_join(placed, "")).select(*pages.columns)
 
 
 def clean_pages(
-    pages: DataFrame, cfg: SiteConfig, stylesheets: DataFrame | None = None, dims: DataFrame | None = None
+    pages: DataFrame,
+    cfg: SiteConfig,
+    stylesheets: DataFrame | None = None,
+    dims: DataFrame | None = None,
+    config: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Pages (site, page_path, html and the columns ``cfg`` reads) with the cleaned text as ``cleaned``.
 
+    With ``config``, the settings of all sites, pages and stylesheets hold no settings of their own and ``cfg`` reads the table's columns (``SiteConfig.from_columns()``).
     Each step is a column of its own where later expressions use it more than once.
     """
-    rows = with_assets(pages, cfg, stylesheets, dims)
+    rows = with_assets(pages, cfg, stylesheets, dims, config, heavy)
     steps = {
         # White space is closed up within each piece of text as captured: pieces that only come to stand
         # side by side because a script between them goes keep a space each.
@@ -528,10 +591,10 @@ def clean_pages(
     return rows.select("*", *named[:2]).select("*", *named[2:]).select(*pages.columns, "cleaned")
 
 
-def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = None) -> DataFrame:
+def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = None, config: DataFrame | None = None) -> DataFrame:
     """Files (site, path, body and the columns ``cfg`` reads) after the whole pass: (site, path, new_path, kind, new_body).
 
-    Removed scripts are left out, images get the path of their WebP, and text goes through the step for its kind.
+    Removed scripts are left out, images get the path of their WebP, and text goes through the step for its kind. ``config`` as for ``clean_pages``.
     """
     path, body = F.col("path"), F.col("body")
     ext = extension(path)
@@ -544,10 +607,14 @@ def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = N
         .when(ext == "css", "css")
         .otherwise("text")
     )
-    kept = files.filter(kept_in_tree(path, cfg)).withColumn("kind", kind)
-
+    every = files.withColumn("kind", kind)
+    others = every.filter("kind <> 'html'")
+    heavy = None
+    if config is not None:
+        heavy = cut_lineage(heavy_sites(files), "heavy-sites")
+        others = with_config_by_key(others, config, "path", heavy=heavy)
     new_path = F.when(F.col("kind") == "image", webp_path(path)).otherwise(path)
-    others = kept.filter("kind <> 'html'").select("*", new_path.alias("new_path"))
+    others = others.filter(kept_in_tree(path, cfg)).select("*", new_path.alias("new_path"))
     # Robots files are rewritten line by line; all other text goes through one chain, prepared and finished by kind.
     rewritten = F.col("kind").isin("sitemap", "css", "js", "text")
     prepared = F.when(F.col("kind") == "sitemap", without_feed_entries(body)).when(rewritten, body)
@@ -559,9 +626,11 @@ def optimize_files(files: DataFrame, cfg: SiteConfig, dims: DataFrame | None = N
     )
     texts = others.withColumn("chained", rewrite_chain(prepared, cfg)).withColumn("new_body", finished)
     columns = ["site", "path", "new_path", "kind", "new_body"]
-    pages = kept.filter("kind = 'html'").withColumnsRenamed({"path": "page_path", "body": "html"})
+    # Settings decide about scripts only, which pages are not.
+    kept = every.filter("kind = 'html'").filter(kept_in_tree(path, SiteConfig()))
+    pages = kept.withColumnsRenamed({"path": "page_path", "body": "html"})
     stylesheets = files.filter(extension(path) == "css")
-    cleaned = clean_pages(pages, cfg, stylesheets, dims).select(
+    cleaned = clean_pages(pages, cfg, stylesheets, dims, config, heavy).select(
         "site", F.col("page_path").alias("path"), F.col("page_path").alias("new_path"), "kind", F.col("cleaned").alias("new_body")
     )
     return texts.select(*columns).unionByName(cleaned)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
 from sitelake.functions.urls import is_crawlable, url_parts
-from sitelake.session import bucketed, new_folder
+from sitelake.session import BucketedTable, bucketed
 
 
 def capture_outcome() -> dict[str, Column]:
@@ -87,39 +87,48 @@ def first_failures(failed: DataFrame, n: int = fv.FAILURES_SHOWN) -> DataFrame:
     return failed.orderBy("site", "url", "reason").limit(n)
 
 
+def unvisited(frontier: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
+    """(site, url) of the URLs that links lead to from the frontier and that were not visited.
+
+    With links placed by (site, src), frontier and visited by (site, url), only the URLs found are shuffled, after
+    repeats were combined in their tasks.
+    """
+    found = (
+        frontier.select("site", F.col("url").alias("src"))
+        .join(links, ["site", "src"])
+        .select("site", F.col("dst").alias("url"))
+        .distinct()
+    )
+    return found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
+
+
 def crawl_reach(edges: DataFrame, seeds: DataFrame, captured: DataFrame) -> DataFrame:
     """Breadth-first walk from the seeds over internal links among captured pages.
 
     edges(site, src, dst), seeds(site, url), captured(site, url) to reach(site, url, depth). One round
-    per level of links; each round joins only the URLs found last and is written to the shared folder, so
-    plans stay short and a lost executor costs one task. The walk ends when a round finds nothing new.
+    per level of links. Links lie in buckets of their source; the URLs visited lie in buckets of their own, to which each
+    round appends what it found under its depth. So neither is shuffled again: a round reads the last depth as its frontier,
+    follows its links, and moves only the URLs these lead to. The walk ends when a round finds nothing new. Rounds are files in the
+    shared folder: plans stay short and a lost executor costs one task.
     """
     spark = edges.sparkSession
     pages = captured.select("site", "url").distinct()
     inner = edges.select("site", "src", "dst").distinct().join(
         pages.withColumnRenamed("url", "dst"), ["site", "dst"], "left_semi"
     )
-    # All links are read in every round: bucketed by their source, they are shuffled only now.
-    links, table = bucketed(inner, "reach-links", "site", "src")
-    folder = new_folder(spark, "reach")
-    rounds = spark.read.schema("site string, url string, depth int")
-
     start = seeds.select("site", "url").distinct().join(pages, ["site", "url"], "left_semi")
-    start.withColumn("depth", F.lit(0)).write.parquet(f"{folder}/round=0")
-    depth = 0
-    while True:
-        frontier = rounds.parquet(f"{folder}/round={depth}")
-        if frontier.isEmpty():
-            break
-        visited = rounds.parquet(*[f"{folder}/round={i}" for i in range(depth + 1)])
-        found = (
-            frontier.select("site", F.col("url").alias("src"))
-            .join(links, ["site", "src"])
-            .select("site", F.col("dst").alias("url"))
-            .distinct()
-            .join(visited.select("site", "url"), ["site", "url"], "left_anti")
-        )
-        depth += 1
-        found.withColumn("depth", F.lit(depth)).write.parquet(f"{folder}/round={depth}")
-    spark.sql(f"drop table {table}")
-    return rounds.parquet(*[f"{folder}/round={i}" for i in range(depth + 1)])
+    visited = BucketedTable(spark, "reach", "site", "url", part="depth")
+    links = None
+    try:
+        links = bucketed(inner, "reach-links", "site", "src")
+        depth, rows = 0, visited.append(start.withColumn("depth", F.lit(0)))
+        while not rows.filter(F.col("depth") == depth).isEmpty():
+            new = unvisited(rows.filter(F.col("depth") == depth), links.rows(), rows)
+            depth += 1
+            rows = visited.append(new.withColumn("depth", F.lit(depth)))
+    finally:
+        # The rounds' files stay for the result; the catalog keeps nothing, whether the walk ended or failed.
+        visited.drop()
+        if links is not None:
+            links.drop()
+    return spark.read.schema("site string, url string, depth int").parquet(visited.folder)

@@ -24,7 +24,9 @@ def publish_delta(local: DataFrame, baseline: DataFrame, meta: DataFrame | None
     """
     known = baseline
     if meta is not None:
-        known = known.join(meta.filter("truncated").select("site"), "site", "left_anti")
+        # A left join on the site: an anti join against a filtered list may be planned as a nested loop.
+        cut = meta.groupBy("site").agg(F.bool_or("truncated").alias("cut"))
+        known = known.join(cut, "site", "left").filter(~F.coalesce("cut", F.lit(False))).drop("cut")
     shas = known.select("site", "sha").distinct().withColumn("known", F.lit(True))
     action = F.when(F.col("known"), "reused").otherwise("needed")
     return local.join(shas, ["site", "sha"], "left").select("site", "path", "sha", action.alias("action"))
@@ -83,6 +85,31 @@ def snapshot_diff(local: DataFrame, baseline: DataFrame, cfg: SiteConfig) -> Dat
     )
 
 
+def paired_roots(roots: DataFrame, baseline_roots: DataFrame) -> DataFrame:
+    """(site, root_sha, old_root_sha) of all sites of either side; null where a side lacks the site."""
+    old = baseline_roots.select("site", F.col("root_sha").alias("old_root_sha"))
+    return roots.select("site", "root_sha").join(old, "site", "full_outer")
+
+
+def changed_sites(paired: DataFrame) -> DataFrame:
+    """Of paired roots the sites whose whole tree is not as before: new, gone, or with another root hash."""
+    return paired.filter(~F.col("root_sha").eqNullSafe(F.col("old_root_sha")))
+
+
+def site_changes(local: DataFrame, baseline: DataFrame, paired: DataFrame, cfg: SiteConfig) -> DataFrame:
+    """What ``snapshot_diff`` says of the paths that are not as before, reading only sites whose roots differ.
+
+    ``paired`` has (site, shard, root_sha, old_root_sha). Both snapshots are stored by shard of their site (see ``write_snapshot``): where the list
+    of changed sites is small, its shards prune the folders before a path is read.
+    """
+    named = changed_sites(paired).select("site", "shard")
+
+    def of_sites(stored: DataFrame) -> DataFrame:
+        return stored.join(named, ["shard", "site"])
+
+    return snapshot_diff(of_sites(local), of_sites(baseline), cfg).filter("action <> 'unchanged'")
+
+
 def common_content(local: DataFrame, baseline: DataFrame) -> DataFrame:
     """Content hashes that occur on both sides."""
     return local.select("site", "sha").intersect(baseline.select("site", "sha"))

@@ -11,6 +11,7 @@ def _load() -> None:
         q_extract,
         q_rewrite,
         q_snapshot,
+        q_stores,
         q_stream,
         q_urls,
     )

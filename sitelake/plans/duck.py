@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sitelake import fixed_values as fv
+
 
 def q(text: str) -> str:
     """A text as SQL literal."""
@@ -177,7 +179,7 @@ def force_https(x: str, domain: str) -> str:
 
 
 def image_ext(x: str) -> str:
-    return f"regexp_replace({x}, {q(chr(40) + '?i)[.](png|jpe?g)' + r'''(["'),?#<>]|\n?\z)''')}, '.webp\\2', 'g')"
+    return rf"regexp_replace({x}, {q(fv.ORACLE_IMAGE_END)}, '.webp\2', 'g')"
 
 
 def chain(x: str, mapped: str, source: str, target: str, scheme: str, domain: str) -> str:

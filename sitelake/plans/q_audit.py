@@ -34,16 +34,20 @@ def _blank(x: str) -> str:
     return f"{d.trim(x)} = ''"
 
 
+_TITLE = rf"regexp_extract(s, {d.q(r'(?is)<title(?:[ ][^>]*)?>(.*?)(?:</title|\z)')}, 1)"
+_OWN_HOST = f"'(?i){d.BEFORE}' || {d.literal('site')} || '{d.AFTER}'"
+_PLAIN_HTTP = f"'(?i)http:{d.SLASHES}([a-z0-9-]+[.])*' || {d.literal('site')} || '{d.AFTER}'"
+
 _N = {
-    "TITLE": f"case when {_blank(chr(114) + 'egexp_extract(s, ' + d.q('(?is)<title(?:[ ][^>]*)?>(.*?)(?:</title|' + chr(92) + 'z)') + ', 1)')} then 1 end",
+    "TITLE": f"case when {_blank(_TITLE)} then 1 end",
     "META": f"case when {_blank(_first('meta', 'lower(' + d.attr('t', 'name') + ') = ' + d.q('description'), 'content'))} then 1 end",
     "CANONICAL": f"case when {_blank(_first('link', 'contains(lower(' + d.attr('t', 'rel') + '), ' + d.q('canonical') + ')', 'href'))} then 1 end",
     "H1": f"nullif({d.count('s', d.q('(?i)<h1[ />]'))}, 1)",
     "LANG": f"case when {_blank(_first('html', 'true', 'lang'))} then 1 end",
     "ALT": f"nullif(len(list_filter({d.all_tags('s', 'img')}, lambda t: not {d.has_attr('t', 'alt')})), 0)",
-    "DOMINIO": f"nullif({d.count('html', chr(39) + '(?i)' + d.BEFORE + chr(39) + ' || ' + d.literal('site') + ' || ' + chr(39) + d.AFTER + chr(39))}, 0)",
+    "DOMINIO": f"nullif({d.count('html', _OWN_HOST)}, 0)",
     "STAGING": r"case when regexp_matches(html, '(?i)(^|[^\w.\-])admin\.[a-z0-9\-]+\.[a-z0-9\-]') then 1 end",
-    "HTTPS": f"nullif({d.count('html', chr(39) + '(?i)http:' + d.SLASHES + '([a-z0-9-]+[.])*' + chr(39) + ' || ' + d.literal('site') + ' || ' + chr(39) + d.AFTER + chr(39))}, 0)",
+    "HTTPS": f"nullif({d.count('html', _PLAIN_HTTP)}, 0)",
 }
 
 

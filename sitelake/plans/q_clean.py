@@ -54,10 +54,12 @@ def _fonts(t):
 
 
 _V = r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
+_HANDLER = rf"(?i)\s+on[^\s=>/]*\s*=\s*{_V}"
+_LAZY = rf"(?i)\s+data-(lazy-)?src(set)?\s*=\s*{_V}"
 
 
 def _handlers(t):
-    return _tag_edit(t, "true", f"regexp_replace(x, {d.q(chr(40) + '?i)' + chr(92) + 's+on[^' + chr(92) + 's=>/]*' + chr(92) + 's*=' + chr(92) + 's*' + _V)}, '', 'g')")
+    return _tag_edit(t, "true", f"regexp_replace(x, {d.q(_HANDLER)}, '', 'g')")
 
 
 def _js_refs(t):
@@ -77,7 +79,7 @@ def _lazy(t):
     drop = _tag_edit(
         real(real(t, "src", "data-src", "data-lazy-src"), "srcset", "data-srcset", "data-lazy-srcset"),
         "true",
-        f"regexp_replace(x, {d.q('(?i)' + chr(92) + 's+data-(lazy-)?src(set)?' + chr(92) + 's*=' + chr(92) + 's*' + _V)}, '', 'g')",
+        f"regexp_replace(x, {d.q(_LAZY)}, '', 'g')",
     )
     return drop
 
@@ -193,10 +195,14 @@ _SET = "c as (select r.*, s.source_host, s.target_host, s.target_scheme, s.site_
 _MAPPED = "target_host <> ''"
 
 
+def _settings(source):
+    """The settings of every site; each preloads two fonts."""
+    return complete_config(source("site_config").withColumn("preload_fonts", F.array(F.lit("/f/a.woff2"), F.lit("/f/B.ttf"))))
+
+
 def _configured(source):
-    """Pages with the settings of their site; every site preloads two fonts."""
-    config = source("site_config").withColumn("preload_fonts", F.array(F.lit("/f/a.woff2"), F.lit("/f/B.ttf")))
-    return with_config(with_site(source("rich")), complete_config(config))
+    """Pages with the settings of their site."""
+    return with_config(with_site(source("rich")), _settings(source))
 
 
 def _page_text(source, expression):
@@ -233,16 +239,12 @@ _SHEETS = (
 )
 
 
-def _sheets(source):
-    return with_config(source("stylesheets"), complete_config(source("site_config")))
-
-
 @query(
     # Captures that share a path are one page of the tree: their links count once.
     f"with {_SHEETS} select distinct r.site, {_PP} as page_path, '/' || path as href, css from [[rich]] r join sheets s on s.site = r.site and s.path = 'css/' || (r.page_id % 7) || '.css'"
 )
 def inline_css(source):
-    return cl.inline_css(_configured(source), _sheets(source), SiteConfig.from_columns())
+    return cl.inline_css(with_site(source("rich")), source("stylesheets"), SiteConfig.from_columns(), _settings(source))
 
 
 _MEDIA = "' media=\"print\"'"
@@ -254,7 +256,7 @@ _LINKED = "'<link rel=\"stylesheet\" media=\"print\" href=\"/css/' || (page_id %
     "from [[rich]] r left join sheets s on s.site = r.site and s.path = 'css/' || (r.page_id % 7) || '.css'"
 )
 def inlined_pages(source):
-    pages = cl.inlined_pages(_configured(source), _sheets(source), SiteConfig.from_columns())
+    pages = cl.inlined_pages(with_site(source("rich")), source("stylesheets"), SiteConfig.from_columns(), _settings(source))
     return pages.select("page_id", "html")
 
 
@@ -268,7 +270,7 @@ _SRCS = (
 
 @query(f"with {_DIMS}, {_SRCS} select distinct s.site, page_path, src, width, height from srcs s join dims using (site, path)")
 def image_dims(source):
-    return cl.image_dims(_configured(source), source("img_dims"), SiteConfig.from_columns())
+    return cl.image_dims(with_site(source("rich")), source("img_dims"), SiteConfig.from_columns(), _settings(source))
 
 
 # --- the whole pass -------------------------------------------------------------------------------
@@ -290,7 +292,7 @@ _PASS = f"""{_SET}, {_SHEETS}, {_DIMS}, {_SRCS},
 
 @query(f"with {_PASS} select page_id, html from done")
 def clean_pages(source):
-    pages = cl.clean_pages(_configured(source), SiteConfig.from_columns(), _sheets(source), source("img_dims"))
+    pages = cl.clean_pages(with_site(source("rich")), SiteConfig.from_columns(), source("stylesheets"), source("img_dims"), _settings(source))
     return pages.select("page_id", F.col("cleaned").alias("html"))
 
 
@@ -320,6 +322,4 @@ def optimize_files(source):
     ).distinct()
     pages = with_site(source("rich")).select("site", F.col("page_path").alias("path"), F.col("html").alias("body"))
     files = pages.unionByName(source("stylesheets")).unionByName(images).unionByName(scripts)
-    config = source("site_config").withColumn("preload_fonts", F.array(F.lit("/f/a.woff2"), F.lit("/f/B.ttf")))
-    configured = with_config(files, complete_config(config))
-    return cl.optimize_files(configured, SiteConfig.from_columns(), source("img_dims"))
+    return cl.optimize_files(files, SiteConfig.from_columns(), source("img_dims"), _settings(source))

@@ -97,12 +97,14 @@ def blank_line_removal(source):
     return _text(source, lambda text, cfg: rw.without_blank_lines(text))
 
 
+_FIRST_MAP = "'sitemap: http://' || site || '/sm-' || page_id || '.xml'"
+_SECOND_MAP = "'Sitemap:https://' || site || '/og/' || page_id || '.png'"
 _ROBOTS = "r as (select r.*, s.source_host, s.target_host, s.target_scheme, s.site_domain from [[robots]] r join [[site_config]] s using (site))"
 
 
 @query(
-    f"with {_ROBOTS} select page_id, 'User-agent: *' || chr(10) || 'Disallow:' || chr(10) || {chain(chr(39) + 'sitemap: http://' + chr(39) + ' || site || ' + chr(39) + '/sm-' + chr(39) + ' || page_id || ' + chr(39) + '.xml' + chr(39))} "
-    f"|| chr(10) || {chain(chr(39) + 'Sitemap:https://' + chr(39) + ' || site || ' + chr(39) + '/og/' + chr(39) + ' || page_id || ' + chr(39) + '.png' + chr(39))} || chr(10) || 'sitemap:' || chr(10) as txt from r"
+    f"with {_ROBOTS} select page_id, 'User-agent: *' || chr(10) || 'Disallow:' || chr(10) || {chain(_FIRST_MAP)} "
+    f"|| chr(10) || {chain(_SECOND_MAP)} || chr(10) || 'sitemap:' || chr(10) as txt from r"
 )
 def clean_robots(source):
     cfg = SiteConfig.from_columns()

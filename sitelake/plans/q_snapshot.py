@@ -149,8 +149,8 @@ def tree_fingerprint_query(source):
 
 @query(f"with {_LEVELS} select site, sha as root_sha from t0")
 def tree_fingerprint_roots(source):
-    # A small bound on the group size, so that folders also take the way of the large ones.
-    return root_hashes(_prints(source, max_entries=50))
+    # More ranges than folders have entries, so that folders also lie across borders.
+    return root_hashes(_prints(source, ranges=50))
 
 
 @query(

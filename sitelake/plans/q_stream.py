@@ -11,6 +11,7 @@ from sitelake.plans.catalog import ORACLES, QUERIES
 from sitelake.plans.inputs import oracle
 from sitelake.plans.q_audit import _finding
 from sitelake.session import new_folder
+from sitelake.sources.tables import PAGES
 from sitelake.streaming import pages as st
 
 
@@ -27,13 +28,27 @@ def _stream(spark, folder):
     return st.stream_pages(spark, folder, "pages.parquet")
 
 
+def _arrivals(spark, folder, parts=4):
+    """The pages table in parts by page_id, as they may arrive one after the other."""
+    pages = spark.read.schema(PAGES).parquet(f"{folder}/pages.parquet")
+    least, most = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    width = ((most or 0) - (least or 0)) // parts + 1
+    part = F.coalesce(F.floor((F.col("page_id") - (least or 0)) / width), F.lit(0))
+    return [pages.filter(part == k).coalesce(1) for k in range(parts)]
+
+
 @_register(
     "stream_ingest",
     f"select site, md5('https://' || site || {d.or_slash('url_path')}) as url_key, min(page_id) as page_id from [[sited]] group by 1, 2",
 )
 def stream_ingest(spark, folder):
     root = new_folder(spark, "ingest")
-    st.run_once(st.ingest_new(_stream(spark, folder), f"{root}/seen", f"{root}/checkpoint"))
+    parts = _arrivals(spark, folder)
+    # Two passes with a restart between them, over two files each, a batch a file.
+    for some in (parts[:2], parts[2:]):
+        for part in some:
+            part.write.mode("append").parquet(f"{root}/pages")
+        st.run_once(st.ingest_new(st.stream_pages(spark, f"{root}/pages", files_per_batch=1), f"{root}/seen", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/seen").select("site", "url_key", "page_id")
 
 

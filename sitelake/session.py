@@ -62,14 +62,36 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
-    """Write rows as a table bucketed by a join key; a join on this key then moves only the other side.
+class BucketedTable:
+    """Rows kept in the session's catalog by buckets of a join key: joins on this key move only the other side.
 
-    Returns the table and its name in the session's catalog. Its files lie in the shared folder.
+    Appended rows go to the same buckets, so the table stays so placed as it grows. There are as many buckets as shuffle partitions were set when the table was
+    made. Files lie in the shared folder, one partition per value of ``part``; ``drop`` takes the table out of the catalog and leaves the files.
     """
-    spark = df.sparkSession
-    table = f"sitelake_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartition(buckets, *keys)
-    spread.write.bucketBy(buckets, *keys).option("path", new_folder(spark, name)).saveAsTable(table)
-    return spark.table(table), table
+
+    def __init__(self, spark: SparkSession, name: str, *keys: str, part: str | None = None) -> None:
+        self.spark, self.keys, self.part = spark, keys, part
+        self.table = f"sitelake_{uuid.uuid4().hex}"
+        self.folder = new_folder(spark, name)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Add rows, already dealt out by the key or not, and return the whole table."""
+        writer = df.write.mode("append").bucketBy(self.buckets, *self.keys).option("path", self.folder)
+        if self.part:
+            writer = writer.partitionBy(self.part)
+        writer.saveAsTable(self.table)
+        return self.rows()
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> BucketedTable:
+    """The rows written as a new bucketed table."""
+    table = BucketedTable(df.sparkSession, name, *keys)
+    table.append(df.repartition(table.buckets, *keys))
+    return table

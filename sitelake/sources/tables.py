@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelake import fixed_values as fv
-from sitelake.functions.text import lines
+from sitelake.functions.text import entity_decode, lines
+from sitelake.operators.crawl import crawl_reach
 from sitelake.operators.extract import with_site
 from sitelake.session import cut_lineage
 
@@ -51,16 +57,45 @@ def text_lines(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode(lines(F.col(text))).alias("row"))
 
 
-def read_file_tree(spark: SparkSession, folder: str, site: str) -> DataFrame:
-    """All files below a folder as files(site, path, body BINARY, size)."""
+def read_file_tree(spark: SparkSession, folder: str, site: str | None = None) -> DataFrame:
+    """All files below a folder as files(site, path, body BINARY, size); without ``site`` the first folder names it.
+
+    Spark's file readers pass over files without a byte.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = "/" + folder.split("://", 1)[-1].strip("/") + "/"
-    return files.select(
-        F.lit(site).alias("site"),
-        F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"),
-        F.col("content").alias("body"),
-        F.col("length").alias("size"),
+    root = "/" + folder.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
+    below = files.select(
+        F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"), F.col("content").alias("body"), F.col("length").alias("size")
     )
+    if site is not None:
+        return below.select(F.lit(site).alias("site"), "path", "body", "size")
+    parts = F.split("path", "/", 2)
+    return below.select(F.get(parts, F.lit(0)).alias("site"), F.get(parts, F.lit(1)).alias("path"), "body", "size")
+
+
+def write_file_tree(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (site, path, body as text or BINARY) one by one below a folder that all executors reach, as ``<folder>/<site>/<path>``; (site, path, size) of those written.
+
+    For an export that is served as files; tables are stored by ``write_snapshot``. A file is written beside its place and then moved there, so a task that runs
+    again leaves the same files. Paths that lead out of the folder are left out. The result is lazy: files are written as it is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            sizes = []
+            for row in batch.to_pylist():
+                place = f"{top}/{row['site']}/{row['path']}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                part = f"{place}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(row["body"])
+                store.move(part, place)
+                sizes.append(len(row["body"]))
+            yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("path"), pa.array(sizes, pa.int64())], ["site", "path", "size"])
+
+    inside = files.filter(~F.concat(F.lit("/"), "site", F.lit("/"), "path", F.lit("/")).contains("/../") & F.col("body").isNotNull())
+    return inside.select("site", "path", F.col("body").cast("binary").alias("body")).mapInArrow(run, "site string, path string, size long")
 
 
 def tree_entries(documents: DataFrame) -> DataFrame:
@@ -87,21 +122,54 @@ def tree_meta(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
-    """Whole XML files as (url, xml)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("url"), F.col("value").alias("xml")
-    )
+def _sitemap_rows(spark: SparkSession, folder: str, tag: str) -> DataFrame:
+    """(file, loc): the first ``loc`` of every element ``tag`` in the files below a folder, its entities decoded.
+
+    A record ends where an element does, so a large file is split between tasks, and no task holds more than an element of it.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("lineSep", f"</{tag}>").text(folder)
+    loc = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>(?:(?!<{tag}[\s>]).)*?<loc>\s*([^<\s]+)\s*</loc>", 1)
+    # Readers name local files with one slash after the scheme or with three.
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/(?!/)", "$1:///")
+    return rows.select(file.alias("file"), loc.alias("loc")).filter("loc <> ''").select("file", entity_decode(F.col("loc")).alias("loc"))
+
+
+def read_sitemaps(spark: SparkSession, folder: str, locate: Callable[[Column], Column], roots: DataFrame) -> DataFrame:
+    """Page entries of all sitemaps that the root sitemaps lead to: (file, loc, depth).
+
+    The folder holds captured sitemap files. An index lists further sitemaps, which may be indexes again: from ``roots`` (file), children are followed until no
+    new file is reached; ``locate`` turns an entry's URL into the name of its file, as ``_metadata.file_path`` gives it. Files that lead to one another are
+    read once, entries of files that no root leads to are left out. Names of local files begin with ``file:///``. ``depth`` is the least number of indexes above a file.
+    """
+    children = _sitemap_rows(spark, folder, "sitemap")
+    entries = cut_lineage(_sitemap_rows(spark, folder, "url"), "sitemap-entries")
+    edges = children.select(F.lit("").alias("site"), F.col("file").alias("src"), locate(F.col("loc")).alias("dst"))
+    files = entries.select("file").union(children.select("file")).distinct().select(F.lit("").alias("site"), F.col("file").alias("url"))
+    reached = crawl_reach(edges, roots.select(F.lit("").alias("site"), F.col("file").alias("url")), files)
+    return entries.join(reached.select(F.col("url").alias("file"), "depth"), "file")
+
 
+#: Folders of a stored snapshot. All paths of a site lie in one shard, so a list of sites prunes folders; files within it are as many as tasks wrote them.
+SHARDS = 64
 
-def site_bucket(buckets: int) -> Column:
-    """Partition column for tables of very many sites; a large site spreads over its buckets by path."""
-    return F.pmod(F.xxhash64("site", "path"), F.lit(buckets)).cast("int")
+
+def site_shard(site: Column, shards: int = SHARDS) -> Column:
+    """The shard of a site in a stored snapshot."""
+    return F.pmod(F.xxhash64(site), F.lit(shards)).cast("int")
+
+
+def write_snapshot(files: DataFrame, path: str, run: str, shards: int = SHARDS) -> None:
+    """Files as rows of a table partitioned by run and shard of their site, not as one file each.
+
+    A run writes its own folder and nothing else: written again, it leaves the same rows, whatever an earlier attempt left, and other
+    runs stay. A large site's rows are spread over the tasks that hold them and are not gathered.
+    """
+    files.withColumn("shard", site_shard(F.col("site"), shards)).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/run={run}")
 
 
-def write_snapshot(files: DataFrame, path: str, buckets: int = 64) -> None:
-    """Files as rows of a partitioned table, not as one file each."""
-    files.withColumn("bucket", site_bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def read_snapshot(spark: SparkSession, path: str, run: str, columns: str) -> DataFrame:
+    """One run of a stored snapshot with the given columns and ``shard``, by which folders are pruned."""
+    return spark.read.schema(f"{columns}, shard int").parquet(f"{path}/run={run}")
 
 
 def changed_only(files: DataFrame, old: str = "body", new: str = "new_body") -> DataFrame:
@@ -109,8 +177,9 @@ def changed_only(files: DataFrame, old: str = "body", new: str = "new_body") ->
     return files.filter(~F.col(new).eqNullSafe(F.col(old)))
 
 
-def write_changed(files: DataFrame, path: str) -> None:
-    changed_only(files).select("site", "path", F.col("new_body").alias("body")).write.mode("overwrite").parquet(path)
+def write_changed(files: DataFrame, path: str, run: str, shards: int = SHARDS) -> None:
+    """The changed files of a run, as ``write_snapshot`` stores them."""
+    write_snapshot(changed_only(files).select("site", "path", F.col("new_body").alias("body")), path, run, shards)
 
 
 def write_findings(findings: DataFrame, broken: DataFrame, path: str) -> None:

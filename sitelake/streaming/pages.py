@@ -5,7 +5,10 @@ A scheduled pass is one run with the trigger ``availableNow`` and the checkpoint
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -13,7 +16,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from sitelake.config import SiteConfig
 from sitelake.functions.urls import url_key
 from sitelake.operators.audit import page_findings
-from sitelake.operators.crawl import dedupe_captures
 from sitelake.operators.extract import with_site
 from sitelake.operators.languages import slug_tally, slugs_of
 from sitelake.sources.tables import PAGES
@@ -31,50 +33,70 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select("site", url_key(F.col("url"), F.col("base")).alias("url_key"), "page_id", "url")
 
 
-def first_seen(pages: DataFrame) -> DataFrame:
-    """First capture per (site, url_key) as a stateful stream; the state grows with the number of URLs.
-
-    For endless runs over very many URLs use ``ingest_new``, whose seen-set is a table.
-    """
-    return _keyed(pages).dropDuplicates(["site", "url_key"])
+#: How long a URL is remembered. One that is captured again later counts as new, as a site's pages are worth another look by then.
+LIFE = "90 days"
+#: Keyed state lives on the executors' disks and in the checkpoint, not in their heaps.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_KEY = ["site", "url_key"]
+_ROW = "site string, url_key string, page_id bigint, url string"
 
 
-def first_seen_within(pages: DataFrame, time_column: str, delay: str) -> DataFrame:
-    """As ``first_seen`` with bounded state, where captures carry a time and repeats come within ``delay``."""
-    keyed = pages.select("site", url_key(F.col("url"), F.col("base")).alias("url_key"), "page_id", "url", time_column)
-    return keyed.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["site", "url_key"])
+def _first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key among a task's rows the one of least page_id; no more than one row a key is held."""
 
+    def least(rows: pa.Table) -> pa.Table:
+        frame = rows.to_pandas(types_mapper=pd.ArrowDtype).sort_values(["page_id", "url"], kind="stable")
+        return pa.Table.from_pandas(frame.drop_duplicates(_KEY), rows.schema, preserve_index=False)
 
-_SEEN = "site string, url_key string, page_id bigint, url string, batch bigint"
+    kept, fresh = None, 0
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        kept = rows if kept is None else pa.concat_tables([kept, rows])
+        fresh += batch.num_rows
+        if fresh > max(100_000, kept.num_rows // 2):
+            kept, fresh = least(kept), 0
+    if kept is not None and kept.num_rows:
+        yield from least(kept).to_batches()
 
 
-def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
-    """What earlier batches stored; a repeated batch never sees its own first attempt."""
-    try:
-        rows = spark.read.schema(schema).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        # The first batch finds no folder yet.
-        rows = spark.createDataFrame([], schema)
-    return rows.filter(F.col("batch") < before)
+def first_seen(pages: DataFrame, life: str = LIFE) -> DataFrame:
+    """The first capture per (site, url_key) of a stream, as keyed state that forgets a key ``life`` after it was first seen.
 
+    A micro-batch costs what arrives in it: its rows are dealt out by key, copies within it are combined to the one of least page_id, and each key is
+    looked up in the state of its partition; what was seen earlier is not read again. Time is that of the batch, so no capture is late, however old, and a batch
+    that is run again comes out the same.
+    """
+    spark = pages.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    once = _keyed(pages).repartition(*_KEY).mapInArrow(_first_in_batch, _ROW)
+    seen = once.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", life)
+    return seen.dropDuplicatesWithinWatermark(_KEY).drop("arrived")
 
-def ingest_new(pages: DataFrame, seen_folder: str, checkpoint: str) -> DataStreamWriter:
-    """New URLs appended to a table, one partition per batch.
 
-    A repeated batch overwrites its own partition and nothing else, so no URL is stored twice. Duplicates within
-    a batch are combined before the shuffle; the anti join runs on narrow keys.
-    """
+def ingest_new(pages: DataFrame, seen_folder: str, checkpoint: str, life: str = LIFE) -> DataStreamWriter:
+    """New URLs (see ``first_seen``) appended to a table; the sink's log takes each batch in once, also when it is run again."""
+    return first_seen(pages, life).writeStream.format("parquet").outputMode("append").option("path", seen_folder).option(
+        "checkpointLocation", checkpoint
+    )
 
-    def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = dedupe_captures(batch, ["page_id"])
-        known = _stored(spark, seen_folder, _SEEN, number).select("site", "url_key")
-        new = fresh.join(known, ["site", "url_key"], "left_anti").select("site", "url_key", "page_id", "url")
-        new.write.mode("overwrite").parquet(f"{seen_folder}/batch={number}")
 
-    return _keyed(pages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+def state_sizes(query: StreamingQuery) -> list[dict]:
+    """Per batch of a query with rows: (batch, keys held, keys added, bytes of state, rows dropped as late) over its state operators."""
+    out = []
+    for progress in query.recentProgress:
+        states = progress["stateOperators"]
+        if states:
+            out.append(
+                {
+                    "batch": progress["batchId"],
+                    "keys": sum(s["numRowsTotal"] for s in states),
+                    "added": sum(s["numRowsUpdated"] for s in states),
+                    "bytes": sum(s["memoryUsedBytes"] for s in states),
+                    "late": sum(s["numRowsDroppedByWatermark"] for s in states),
+                }
+            )
+    return out
 
 
 def audit_stream(pages: DataFrame, cfg: SiteConfig, out: str, checkpoint: str) -> DataStreamWriter:
@@ -106,11 +128,6 @@ def tally_total(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy("site", "slug").agg(F.sum("declared").alias("declared"), F.sum("links").alias("links"))
 
 
-def running_tally(pages: DataFrame) -> DataFrame:
-    """The same totals as a streaming aggregation, for the update or complete mode."""
-    return slug_tally(pages)
-
-
 def languages_so_far(spark: SparkSession, out: str) -> DataFrame:
     return slugs_of(tally_total(spark, out))
 

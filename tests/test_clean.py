@@ -1,11 +1,13 @@
 """Golden rows and properties of the token grammar and the cleaning steps."""
 
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sitelake.config import SiteConfig
+from sitelake.config import SiteConfig, with_config
 from sitelake.functions import markup as mk
 from sitelake.operators import clean as cl
 
@@ -155,6 +157,66 @@ def test_whole_pass(spark):
     )
 
 
+def site_table(spark):
+    """Pages of several sites that share stylesheets and images, one without a path, two captures of one page."""
+    page = '<html><head><link rel="stylesheet" href="/a.css"><link rel=stylesheet href="b.css"></head><body><img src="/i/{0}.png"><img src="/i/x.jpg"><a href="http://{1}/">x</a></body></html>'
+    data = [(f"s{i % 4}.com", f"p/{i}.html", page.format(i, f"s{i % 4}.com")) for i in range(24)]
+    data += [("s1.com", None, page.format(1, "s1.com")), ("s1.com", "p/1.html", page.format(2, "s1.com")), ("s9.com", "q.html", "<p>no settings</p>"), ("s2.com", "empty.html", "")]
+    pages = spark.createDataFrame(data, "site string, page_path string, html string")
+    sheets = [(f"s{i}.com", path, f"p{{color:{i}}}" + path) for i in range(4) for path in ("a.css", "p/b.css", "unused.css")] + [("s3.com", "p/b.css2", "x"), ("s9.com", "a.css", "y" * 20_000)]
+    dims = [(f"s{i}.com", path, i + 1, 5) for i in range(4) for path in ("i/x.jpg", "i/1.png", "i/2.png", "i/7.png")]
+    config = [(f"s{i}.com", f"s{i}.com", f"www.s{i}.com" if i % 2 else "", "com", 15360 if i else 3) for i in range(4)]
+    return (
+        pages,
+        spark.createDataFrame(sheets, "site string, path string, body string"),
+        spark.createDataFrame(dims, "site string, path string, width int, height int"),
+        spark.createDataFrame(config, "site string, source_host string, target_host string, site_domain string, inline_css_max_bytes int"),
+    )
+
+
+def test_settings_that_come_late_give_the_same_pages(spark):
+    pages, sheets, dims, config = site_table(spark)
+    cfg = SiteConfig.from_columns()
+    columns = ["site", "page_path", "cleaned"]
+    late = cl.clean_pages(pages, cfg, sheets, dims, config).select(*columns)
+    early = cl.clean_pages(with_config(pages, config), cfg, with_config(sheets, config), dims).select(*columns)
+    found = Counter(map(tuple, late.collect()))
+    assert found == Counter(map(tuple, early.collect())) and sum(found.values()) == 28
+    texts = " ".join(text for _, _, text in found)
+    assert "<style>p{color:1}a.css</style>" in texts and 'width="2" height="5"' in texts and "https://www.s3.com/" in texts and "color:0" not in texts
+    for late, early in (
+        (cl.inlined_pages(pages, sheets, cfg, config), cl.inlined_pages(with_config(pages, config), with_config(sheets, config), cfg).select("site", "page_path", "html")),
+        (cl.inline_css(pages, sheets, cfg, config), cl.inline_css(with_config(pages, config), with_config(sheets, config), cfg)),
+        (cl.image_dims(pages, dims, cfg, config), cl.image_dims(with_config(pages, config), dims, cfg)),
+    ):
+        assert Counter(map(tuple, late.collect())) == Counter(map(tuple, early.collect()))
+
+
+def nodes_of(plan):
+    yield plan
+    name = plan.nodeName()
+    inner = plan.initialPlan() if name == "AdaptiveSparkPlan" else None
+    children = [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().length())]
+    for child in children:
+        yield from nodes_of(child)
+
+
+def test_page_texts_and_stylesheets_move_once(spark):
+    """Broadcasts off: a page's text is in one exchange, stylesheets are gathered by set and not by page."""
+    pages, sheets, dims, config = site_table(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = cl.clean_pages(pages, SiteConfig.from_columns(), sheets, dims, config)
+        nodes = list(nodes_of(rows._jdf.queryExecution().executedPlan()))
+        columns = [(n.nodeName(), {n.output().apply(i).name() for i in range(n.output().length())}) for n in nodes]
+        exchanges = [names for kind, names in columns if kind == "Exchange"]
+        assert sum("html" in names for names in exchanges) == 1 and sum("body" in names for names in exchanges) == 1
+        assert not any("Aggregate" in kind and names & {"html", "page_path"} and names & {"css", "styles", "html"} for kind, names in columns)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- pages as found in the wild
 
 

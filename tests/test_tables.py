@@ -2,13 +2,14 @@
 
 import hashlib
 import json
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
-from sitelake.config import SiteConfig, complete_config, with_config
+from sitelake.config import SiteConfig, complete_config, with_config, with_config_by_key
 from sitelake.functions.hashing import as_bytes, blob_sha
 from sitelake.operators import audit as au
 from sitelake.operators import crawl as cr
@@ -68,30 +69,75 @@ TREE = {f"d/{'x' * (i % 7)}{i}.html": git_blob(b"%d" % i) for i in range(300)} |
 }
 
 
-@pytest.mark.parametrize("max_entries", [1, 3, 40, 100_000])
-def test_folder_hashes_for_any_group_bound(spark, max_entries):
-    if max_entries == 1:
-        tree = {p: s for p, s in TREE.items() if not p.startswith("d/") or p.endswith("0.html")}
-        tree = dict(list(tree.items())[:8])
-    elif max_entries == 3:
-        tree = dict(list(TREE.items())[-20:])
-    else:
-        tree = TREE
-    data = [(site, p, s, None) for site in ("a", "b") for p, s in tree.items()]
-    table = spark.createDataFrame(data, "site string, path string, sha string, mode string").repartition(7)
-    found = rows(fp.tree_fingerprint(table, max_entries=max_entries), "site", "dir", "sha")
-    assert found == sorted((site, d, s) for site in ("a", "b") for d, s in git_tree(tree).items())
+def tree_table(spark, files, sites=("a", "b")):
+    data = [(site, p, s, None) for site in sites for p, s in files.items()]
+    return spark.createDataFrame(data, "site string, path string, sha string, mode string")
 
 
-def test_hash_state_moves_over_any_cut():
-    data = bytes(range(256)) * 3
-    for cut in (0, 1, 63, 64, 65, 500, 768):
-        import pandas as pd
+def hashes_of(files, sites=("a", "b")):
+    return sorted((site, d, s) for site in sites for d, s in git_tree(files).items())
 
-        first = pd.DataFrame([("s", "d", fp._START, b"", 0, data[:cut], False)], columns=["site", "dir", "state", "tail", "total", "piece", "last"])
-        mid = next(fp._advance(iter([first])))
-        last = next(fp._advance(iter([mid.assign(piece=[data[cut:]], last=[True])])))
-        assert last["state"][0].hex() == hashlib.sha1(data).hexdigest()
+
+@pytest.mark.parametrize(("ranges", "piece"), [(None, 8_192), (1, 8_192), (2, 7), (40, 50)])
+def test_folder_hashes_for_any_ranges_and_pieces(spark, monkeypatch, ranges, piece):
+    monkeypatch.setattr(fp, "PIECE", piece)
+    found = rows(fp.tree_fingerprint(tree_table(spark, TREE).repartition(7), ranges), "site", "dir", "sha")
+    assert found == hashes_of(TREE)
+
+
+def test_folder_hashes_of_no_files(spark):
+    assert fp.tree_fingerprint(tree_table(spark, {})).collect() == []
+
+
+def test_folds_pass_batches_of_any_size(spark):
+    """A folder's head, entries and borders may fall anywhere in the batches of a task."""
+    import pyarrow as pa
+
+    entries = [b"entry %d" % i * (i % 5 + 1) for i in range(40)]
+    head = b"tree %d\0" % sum(map(len, entries))
+    whole = [("s", "d", None if i else sum(map(len, entries)) + len(head), e) for i, e in enumerate([head, *entries])]
+    other = [("s", "e", None, b"left over")], [("s", "f", 99, b"cut")]
+    for size in (1, 3, 100):
+        data = [*other[0], *whole, *other[1]]
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*data[k : k + size]), (pa.string(), pa.string(), pa.int64(), pa.binary()))], ["site", "dir", "due", "entry"])
+            for k in range(0, len(data), size)
+        ]
+        out = [tuple(r.values()) for b in fp._fold(iter(batches)) for r in b.to_pylist()]
+        assert out == [("s", "e", None), ("s", "d", hashlib.sha1(head + b"".join(entries)).hexdigest()), ("s", "f", None)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_updated_fingerprint_equals_a_full_run(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    name = lambda: "/".join(rng.choice("abc") + rng.choice(["", ".x", "-"]) for _ in range(rng.randrange(1, 5)))
+    files = {}
+    while len(files) < 60:
+        path = name() + f"/f{len(files)}"
+        files[path] = git_blob(path.encode())
+    after = dict(files)
+    for path in rng.sample(sorted(files), 8):
+        if rng.random() < 0.5:
+            del after[path]
+        else:
+            after[path] = git_blob(b"new")
+    after |= {"brand/new/folder/file": git_blob(b"1"), "top": git_blob(b"2")}
+    before_table, after_table = tree_table(spark, files), tree_table(spark, after, ("a",)).unionByName(tree_table(spark, files, ("b",)))
+    nodes = fp.tree_fingerprint(before_table)
+    found = rows(fp.updated_fingerprint(nodes, before_table, after_table, 3), "site", "dir", "sha")
+    assert found == sorted(hashes_of(after, ("a",)) + hashes_of(files, ("b",)))
+    assert rows(fp.updated_fingerprint(nodes, before_table, before_table), "site", "dir", "sha") == hashes_of(files)
+
+
+def test_an_update_hashes_only_folders_above_changes(spark, monkeypatch):
+    before = tree_table(spark, TREE)
+    after = tree_table(spark, TREE | {"é/1": git_blob(b"x")}, ("a",)).unionByName(tree_table(spark, TREE, ("b",)))
+    nodes, hashed, level = fp.tree_fingerprint(before), [], fp._level
+    monkeypatch.setattr(fp, "_level", lambda entries, ranges: hashed.append(level(entries, ranges)) or hashed[-1])
+    fp.updated_fingerprint(nodes, before, after)
+    assert sorted(r for done in hashed for r in rows(done, "site", "dir")) == [("a", ""), ("a", "é")]
 
 
 # --- crawl ----------------------------------------------------------------------------------------
@@ -115,6 +161,45 @@ def test_reach_is_breadth_first_with_cycles(spark):
     assert rows(cr.crawl_reach(edges, seeds, captured), "url", "depth") == [("1", 0), ("2", 1), ("3", 1), ("4", 2), ("5", 3)]
 
 
+def test_a_round_of_the_walk_moves_only_what_it_found(spark):
+    from sitelake.session import BucketedTable, bucketed
+
+    rng = range(400)
+    edges = spark.createDataFrame([("s", str(i), str((i * 7 + 1) % 400)) for i in rng], "site string, src string, dst string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    links, visited = bucketed(edges, "t", "site", "src"), BucketedTable(spark, "t", "site", "url", part="depth")
+    try:
+        start = edges.filter("src % 40 = 0").select("site", F.col("src").alias("url"))
+        rows_ = visited.append(start.withColumn("depth", F.lit(0)))
+        for depth in (1, 2):
+            new = cr.unvisited(rows_.filter(F.col("depth") == depth - 1), links.rows(), rows_)
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            # One exchange, that of the URLs found; the tables are read as they lie, and only the last depth is the frontier.
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 3
+            assert "(depth#" in plan and "PartitionFilters" in plan
+            rows_ = visited.append(new.withColumn("depth", F.lit(depth)))
+        assert rows_.filter("depth = 1").count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        links.drop()
+        visited.drop()
+
+
+def test_a_failed_walk_leaves_nothing_in_the_catalog(spark, monkeypatch):
+    edges = spark.createDataFrame([("s", "1", "2")], "site string, src string, dst string")
+    captured = spark.createDataFrame([("s", "1"), ("s", "2")], "site string, url string")
+    tables = {t.name for t in spark.catalog.listTables()}
+
+    def broken(*_):
+        raise RuntimeError("a round failed")
+
+    monkeypatch.setattr(cr, "unvisited", broken)
+    with pytest.raises(RuntimeError, match="a round failed"):
+        cr.crawl_reach(edges, captured, captured)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_discovery_by_kind(spark):
     captures = spark.createDataFrame(
         [
@@ -291,11 +376,80 @@ def test_file_tree_source_and_sinks(spark, tmp_path):
     files = tb.read_file_tree(spark, str(tmp_path / "x"), "s")
     assert rows(files, "path", "size") == [("a.txt", 2), ("d/b.html", 1)]
     assert rows(sn.snapshot(files), "path", "sha") == [("a.txt", git_blob("é".encode())), ("d/b.html", git_blob(b"h"))]
-    tb.write_snapshot(files, str(tmp_path / "snap"), 4)
-    assert spark.read.parquet(str(tmp_path / "snap")).count() == 2
+    folder = str(tmp_path / "snap")
+    shape = "site string, path string, body binary, size long"
+    tb.write_snapshot(files.filter("size = 1").withColumn("path", F.lit("left by a failed attempt")), folder, "r1", 4)
+    tb.write_snapshot(files, folder, "r2", 4)
+    for _ in range(2):
+        tb.write_snapshot(files, folder, "r1", 4)
+        for run in ("r1", "r2"):
+            assert rows(tb.read_snapshot(spark, folder, run, shape), "path", "size") == [("a.txt", 2), ("d/b.html", 1)]
     changed = spark.createDataFrame([("s", "a", "1", "1"), ("s", "b", "1", "2"), ("s", "c", None, "1")], "site string, path string, body string, new_body string")
-    tb.write_changed(changed, str(tmp_path / "changed"))
-    assert rows(spark.read.parquet(str(tmp_path / "changed")), "path", "body") == [("b", "2"), ("c", "1")]
+    tb.write_changed(changed, str(tmp_path / "changed"), "r1", 4)
+    assert rows(tb.read_snapshot(spark, str(tmp_path / "changed"), "r1", "site string, path string, body string"), "path", "body") == [("b", "2"), ("c", "1")]
+
+
+def test_file_tree_round_trip(spark, tmp_path):
+    table = [("a.com", "index.html", "<p>é</p>"), ("a.com", "x y/%41+b.html", "2"), ("b.com", "é/1", ""), ("b.com", "../out", "no"), ("b.com", "x/..", "no"), ("b.com", "n", None)]
+    files = spark.createDataFrame(table, "site string, path string, body string")
+    folder = str(tmp_path / "tree")
+    for _ in range(2):
+        assert rows(tb.write_file_tree(files, folder)) == [("a.com", "index.html", 9), ("a.com", "x y/%41+b.html", 1), ("b.com", "é/1", 0)]
+    found = rows(tb.read_file_tree(spark, folder).select("site", "path", F.decode("body", "UTF-8")))
+    # Spark's file readers pass over empty files.
+    assert found == [("a.com", "index.html", "<p>é</p>"), ("a.com", "x y/%41+b.html", "2")] and (tmp_path / "tree" / "b.com" / "é" / "1").exists()
+    assert not (tmp_path / "out").exists()
+
+
+def test_sitemaps_are_followed_through_indexes(spark, tmp_path):
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>\n {n} </loc><lastmod>x</lastmod></sitemap>" for n in names) + "</sitemapindex>"
+    pages = lambda *urls: "<urlset xmlns:image='i'>" + "".join(f"<url><loc>{u}</loc><image:image><image:loc>no</image:loc></image:image></url>" for u in urls) + "</urlset>"
+    many = [f"m{i}" for i in range(20_000)]
+    for name, text in {
+        "root.xml": index("a.xml", "deep.xml", "missing.xml"), "deep.xml": index("b.xml", "root.xml"), "a.xml": pages("1", "2?x=1&amp;y=2"), "b.xml": pages("3", "1"),
+        "lost.xml": pages("4"), "big.xml": pages(*many), "second.xml": index("big.xml"),
+    }.items():
+        (tmp_path / name).write_text(text)
+    top = f"file://{tmp_path}/"
+    roots = spark.createDataFrame([(f"{top}{n}",) for n in ("root.xml", "second.xml", "nowhere.xml")], "file string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = tb.read_sitemaps(spark, str(tmp_path), lambda url: F.concat(F.lit(top), url), roots)
+        assert rows(found.filter("loc not like 'm%'").select(F.substring_index("file", "/", -1), "loc", "depth")) == [("a.xml", "1", 1), ("a.xml", "2?x=1&y=2", 1), ("b.xml", "1", 2), ("b.xml", "3", 2)]
+        # A file larger than a split is read by several tasks, each entry once.
+        big = tb._sitemap_rows(spark, f"{tmp_path}/big.xml", "url")
+        assert big.rdd.getNumPartitions() > 5 and sorted(r["loc"] for r in big.collect()) == sorted(many)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sites_of_equal_roots_are_not_read(spark, tmp_path):
+    local = [(f"s{i}", "a", f"{i}") for i in range(60)] + [("s7", "b", "x")]
+    old = [(f"s{i}", "a", f"{i}") for i in range(60)] + [("s7", "c", "y"), ("gone", "z", "1")]
+    for run, data in (("new", local), ("old", old)):
+        tb.write_snapshot(spark.createDataFrame(data, "site string, path string, sha string"), str(tmp_path / "snap"), run, 16)
+    roots = [(f"s{i}", "r", "r") for i in range(60) if i != 7] + [("s7", "r", "q"), ("gone", None, "r")]
+    paired = spark.createDataFrame(roots, "site string, root_sha string, old_root_sha string").withColumn("shard", tb.site_shard(F.col("site"), 16))
+    paired.write.parquet(str(tmp_path / "roots"))
+    stored = [tb.read_snapshot(spark, str(tmp_path / "snap"), run, "site string, path string, sha string") for run in ("new", "old")]
+    found = sn.site_changes(*stored, spark.read.parquet(str(tmp_path / "roots")), SiteConfig())
+    assert rows(found, "site", "path", "action") == [("gone", "z", "removed"), ("s7", "b", "added"), ("s7", "c", "removed")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruningexpression") >= 2
+    assert rows(sn.changed_sites(sn.paired_roots(paired.select("site", "root_sha"), paired.select("site", F.col("old_root_sha").alias("root_sha")))), "site") == [("gone",), ("s7",)]
+
+
+def test_report_findings_and_failures_are_written(spark, tmp_path):
+    findings = spark.createDataFrame([("s", "p", "H1", 2, "d")], "site string, page_path string, code string, n long, detail string")
+    broken = spark.createDataFrame([("s", "p", "/x")], "site string, page_path string, ref string")
+    tb.write_findings(findings, broken, str(tmp_path / "f"))
+    assert rows(spark.read.parquet(str(tmp_path / "f" / "findings"))) == rows(findings) and rows(spark.read.parquet(str(tmp_path / "f" / "broken_links"))) == rows(broken)
+    tb.write_report(tb.report_lines(findings, broken), str(tmp_path / "r"))
+    text = [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert text == ["BROKEN LINKS (1)", "p -> /x", "SEO AUDIT (1)", "[H1] p: d"]
+    tb.write_failed(broken, str(tmp_path / "x"))
+    assert rows(spark.read.parquet(str(tmp_path / "x"))) == rows(broken)
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -327,6 +481,37 @@ def test_config_join_fills_defaults(spark):
     assert found == [(1, "x.com", False, "www", 2), (2, "", False, "www", 2)]
 
 
+def test_config_join_of_dealt_out_sites_equals_the_plain_one(spark):
+    config = spark.createDataFrame([("big", "x.com"), ("c3", "y.com"), ("none", "z.com")], "site string, target_host string")
+    table = spark.createDataFrame(
+        [("big", str(i)) for i in range(300)] + [(f"c{i % 40}", str(i)) for i in range(100)] + [(None, "n"), (None, None), ("big", None)], "site string, path string"
+    )
+    plain = rows(with_config(table, config).na.fill("-"))
+    assert rows(with_config(table, config, "path").na.fill("-")) == plain
+    assert rows(with_config_by_key(table, config, "path").na.fill("-")) == plain
+    assert with_config(table.limit(0), config, "path").collect() == []
+
+
+@pytest.mark.parametrize("share", [2, 3])
+def test_no_task_of_the_config_join_holds_a_heavy_site(spark, share):
+    """One site with half or a third of all rows, broadcasts and adaptive splits off: tasks stay even."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        table = spark.range(60_000).select(F.when(F.col("id") % share == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 4001)).alias("site"), F.col("id").cast("string").alias("path"))
+        config = table.select("site", F.lit("x.com").alias("target_host")).distinct()
+        joined = with_config(table, config, "path")
+        sizes = sorted(n for _, n in rows(joined.groupBy(F.spark_partition_id()).count()))
+        assert sum(sizes) == 60_000 and len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+        plain = sorted(n for _, n in rows(with_config(table, config).groupBy(F.spark_partition_id()).count()))
+        assert plain[-1] > 4 * plain[8]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- runs -----------------------------------------------------------------------------------------
 
 
@@ -356,15 +541,34 @@ def split_pages(spark, folder, parts=3):
 def test_ingest_equals_batch_and_survives_a_restart(spark, tmp_path):
     folder, seen, state = str(tmp_path / "in"), str(tmp_path / "seen"), str(tmp_path / "state")
     both = split_pages(spark, folder)
+    first = sp.run_once(sp.ingest_new(sp.stream_pages(spark, folder, files_per_batch=1), seen, state))
+    sizes = sp.state_sizes(first)
+    assert len([s for s in sizes if s["added"]]) > 1 and sizes[-1]["bytes"] > 0 and all(s["late"] == 0 for s in sizes)
+    # After a restart nothing that was seen comes again, whether its files or only its URLs come again.
     for _ in range(2):
-        sp.run_once(sp.ingest_new(sp.stream_pages(spark, folder, files_per_batch=1), seen, state))
+        split_pages(spark, folder)
+        again = sp.run_once(sp.ingest_new(sp.stream_pages(spark, folder, files_per_batch=1), seen, state))
+        assert sum(s["added"] for s in sp.state_sizes(again)) == 0 and sp.state_sizes(again)[-1]["keys"] == sizes[-1]["keys"]
     stored = spark.read.parquet(seen)
-    expected = with_site(both).select("site", F.md5(F.concat("base", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)))).distinct()
-    assert stored.select("batch").distinct().count() > 1
-    assert rows(stored, "site", "url_key") == rows(expected)
-    # A batch that is run again replaces what its first attempt stored.
-    spark.createDataFrame([("x", "k", 1, "u")], "site string, url_key string, page_id long, url string").write.mode("overwrite").parquet(f"{seen}/batch=99")
-    assert sp._stored(spark, seen, sp._SEEN, 99).count() == stored.count()
+    keyed = with_site(both).select("site", F.md5(F.concat("base", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1))).alias("url_key"))
+    assert rows(stored, "site", "url_key") == rows(keyed.distinct())
+    assert sizes[-1]["keys"] == stored.count()
+
+
+def test_a_batch_keeps_the_least_id_of_a_url(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"https://a.com/{i % 3}?{i}", "x") for i in range(50, 0, -1)], "page_id long, url string, html string")
+    pages.repartition(5).write.parquet(str(tmp_path / "in"))
+    sp.run_once(sp.ingest_new(sp.stream_pages(spark, str(tmp_path / "in")), str(tmp_path / "seen"), str(tmp_path / "state")))
+    assert rows(spark.read.parquet(str(tmp_path / "seen")), "page_id", "url") == [(1, "https://a.com/1?1"), (2, "https://a.com/2?2"), (3, "https://a.com/0?3")]
+
+
+def test_a_url_is_forgotten_after_its_life(spark, tmp_path):
+    folder, seen, state = str(tmp_path / "in"), str(tmp_path / "seen"), str(tmp_path / "state")
+    for k in range(3):
+        spark.createDataFrame([(k, "https://a.com/", "x"), (10 + k, f"https://a.com/{k}", "x")], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(folder)
+        sp.run_once(sp.ingest_new(sp.stream_pages(spark, folder), seen, state, life="1 second"))
+        time.sleep(2)
+    assert [r for r in rows(spark.read.parquet(seen), "page_id") if r[0] < 10] != [(0,)]
 
 
 def test_audit_and_tally_streams_equal_batch(spark, tmp_path):
