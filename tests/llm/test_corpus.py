@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -185,7 +186,8 @@ def all_spans(text, ratio):
     """With the strings that the models call random, but for those inside others."""
     base = base_spans(text)
     for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}=*", text):
-        unlikely = sum(ratio[p] for p in map("".join, zip("^" + m[0], m[0]))) >= secrets.THRESHOLD
+        likelier = sum(ratio[p] for p in map("".join, zip("^" + m[0], m[0])))
+        unlikely = likelier >= max(secrets.THRESHOLD, secrets.PER_CHARACTER * len(m[0])) and len(set(m[0])) >= secrets.VARIETY
         if unlikely and not any(a <= m.start() and b >= m.end() for a, _, b, _ in base):
             base = [*base, (m.start(), 3, m.end(), "random")]
     return sorted(base)
@@ -233,6 +235,38 @@ def test_log_likelihood_ratio_is_the_plain_sum(spark, ratio):
     assert all(abs(v) < 1e-9 for v in secrets.train_markov(spark.createDataFrame([], "text string, label int")).values())
 
 
+ORDINARY = [
+    "-" * 20, "=" * 60, "A" * 30, "xy" * 20, "/usr/local/lib/python3/dist-packages", "x86_64-unknown-linux-gnu", "2024-01-17T10-22-33", "node_modules/react-dom/cjs/react",
+    "com/example/project/src/main", "ThisIsACamelCaseIdentifier", "THIS_IS_A_CONSTANT_NAME", "1234567890123456", "docs/2023/05/release-notes-10-2", "/home/user42/projects/app-3/src",
+]
+
+
+def test_ordinary_strings_stay_and_random_keys_go(spark):
+    """Strings that no sample holds: names, paths, dates and rules on one side, keys in four alphabets on the other."""
+    learnt = secrets.train_markov(secrets.labelled_strings(spark.read.parquet(f"{SMALL}/documents.parquet"), 200))
+    rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for n in (20, 24, 32, 40) for a in (letters + "0123456789", "0123456789ABCDEF", letters[:26] + "234567", letters + "0123456789-_") for _ in range(60)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(ORDINARY + keys)]
+    found = {r["doc_id"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), learnt).collect() if r["spans"]}
+    assert not found & set(range(len(ORDINARY))) and len(found) >= 0.95 * len(keys)
+
+
+def test_one_long_string_takes_linear_time(spark, ratio):
+    rng = random.Random(5)
+    took = []
+    for n in (20_000, 2_000_000):
+        text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        began = time.time()
+        assert len(secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratio).first()["spans"]) == 1
+        took.append(time.time() - began)
+    assert took[1] < 30 + took[0]
+
+
+def test_columns_of_any_name_survive_masking(spark, ratio):
+    docs = spark.createDataFrame([(1, "token = abcdefgh", 1, 2), (2, "x", 3, 4)], "doc_id long, text string, `a.b` long, `c``d` long")
+    assert sorted(map(tuple, secrets.redact_secrets(docs, ratio).collect())) == [(1, secrets.MASK, 1, 2), (2, "x", 3, 4)]
+
+
 def test_secrets_are_masked(spark, ratio):
     rows = [(i, t, len(t or ""), "c") for i, t in enumerate(SECRETS)] + [(0, SECRETS[0], 1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
