@@ -35,6 +35,10 @@ _NAMES = "(?<=[\\p{L}\\p{N},;:)] )\\p{Lu}[\\p{L}'’-]*+(?: \\p{Lu}[\\p{L}'’-]
 _DIGITS = "(?<![\\p{L}\\p{N}])\\p{Nd}++(?:[.,:/]\\p{Nd}++)*+"
 _MEASURES = f"({_DIGITS})[ -]?((?i:{_UNITS}))(?![\\p{{L}}\\p{{N}}])"
 _NUMBERS = f"{_DIGITS}(?![\\p{{L}}\\p{{N}}])"
+#: Items of fewer tokens match only texts that consist of them: so short a phrase inside a text is no sign of the item.
+SHORTEST = 3
+#: Diagonals (place in the text less place in the item) no further apart belong to one occurrence: so many tokens may have been put in or left out.
+SLACK = 4
 #: A text and a benchmark class; ``part`` tells texts under one doc_id apart.
 _PAIR = ["doc_id", "part", "class"]
 _TOKENS = f"[{_ALL}]|[\\p{{L}}\\p{{N}}]++"
@@ -78,9 +82,14 @@ def slots(text: Column) -> Column:
 
 
 def _windows(tokens: Column, n: int) -> Column:
-    """A hash of each n tokens in a row; of all tokens where there are fewer."""
-    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
-    return F.when(F.size(tokens) >= n, each).when(F.size(tokens) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(tokens, " "))))
+    """A hash of each n tokens in a row; null for fewer tokens."""
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(F.lit(n), *[F.get(tokens, i + k) for k in range(n)]))
+    return F.when(F.size(tokens) >= n, each)
+
+
+def _own_windows(tokens: Column, n: int) -> Column:
+    """The windows of an item: those of n tokens, or one of all tokens where there are fewer."""
+    return F.coalesce(*[_windows(tokens, k) for k in range(n, 0, -1)])
 
 
 def _benchmark(benchmark: DataFrame, n: int) -> DataFrame:
@@ -101,37 +110,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     document), coverage (matched / n_windows), run_tokens (longest run of tokens found in order without a gap), n_slots (values of the item that were compared), consistent.
 
     A document holds an item if at least ``share`` of the item's windows of ``window`` template tokens occur in it, or ``run`` tokens in a row,
-    and if the slots agree: over all windows that match, each value of the item stands for one value in the document and the reverse.
-    Windows of fewer than two literal tokens say nothing and are left out. Items shorter than a window match documents whose whole template is the
-    same. Null and empty texts hold nothing; an empty table gives no rows. Different texts under one doc_id (null is an id like others) are judged each by
+    and if the slots agree: over the windows of an occurrence, each value of the item stands for one value in the document and the reverse.
+    Windows of fewer than two literal tokens say nothing and are left out. An item shorter than a window is one window of its own length, found anywhere in a
+    text (below ``SHORTEST`` tokens: only as the whole text). The slots are judged by occurrence: windows on diagonals at most ``SLACK`` apart. Those of occurrences that contradict themselves are left out, and what
+    stays must reach the same bounds; so two copies with different values do not refute one another. Null and empty texts hold nothing; an empty table gives no rows. Different texts under one doc_id (null is an id like others) are judged each by
     itself, and so are different items under one item_id; the closest of them gives the row.
     """
     items = cut_lineage(_benchmark(benchmark, window), "benchmark")
     literal = F.transform(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.size(F.filter(F.slice("tokens", i + 1, window), lambda t: ~t.rlike(f"^[{_ALL}]$"))) >= LITERALS)
-    hashed = items.select("class", "tokens", _windows(F.col("tokens"), window).alias("hashes"))
+    hashed = items.select("class", "tokens", _own_windows(F.col("tokens"), window).alias("hashes"))
     known = hashed.select("class", F.posexplode(F.arrays_zip("hashes", literal.alias("literal")))).filter("col.literal").select("class", F.col("pos").alias("ipos"), F.col("col.hashes").alias("hash"))
     known = cut_lineage(known, "benchmark-windows")
-    totals = known.groupBy("class").agg(F.count(F.lit(1)).alias("n_windows"))
+    totals = known.groupBy("class").agg(F.count(F.lit(1)).alias("n_windows")).join(items.select("class", F.size("tokens").alias("n_tokens")), "class")
 
     tokens = docs.select("doc_id", F.xxhash64("text").alias("part"), template(F.col("text")).alias("tokens"))
-    rows = tokens.select("doc_id", "part", F.posexplode(_windows(F.col("tokens"), window)).alias("dpos", "hash"))
+    # Texts have windows of the lengths that items have: mostly one, at most ``window``.
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).distinct().collect())
+    none = F.array().cast("array<bigint>")
+    each = []
+    for n in lengths or [window]:
+        there = _windows(F.col("tokens"), n) if n >= min(SHORTEST, window) else F.when(F.size("tokens") == n, _windows(F.col("tokens"), n))
+        each.append(F.transform(F.coalesce(there, none), lambda h, i: F.struct(i.alias("dpos"), h.alias("hash"))))
+    rows = tokens.select("doc_id", "part", F.inline(F.concat(*each) if len(each) > 1 else each[0]))
     small = known.count() <= BROADCAST_WINDOWS
     matches = rows.join(F.broadcast(known) if small else known, "hash").select(*_PAIR, "dpos", "ipos")
     matches = cut_lineage(matches.distinct(), "matched-windows")
 
     counted = matches.groupBy(*_PAIR).agg(F.countDistinct("ipos").alias("matched")).join(totals, "class")
     enough = F.least(F.ceil(F.col("n_windows") * share), F.lit(max(1, run - window + 1)))
-    counted = counted.filter(F.col("matched") >= enough)
-    close = _null_safe(matches, counted, _PAIR)
-    # Windows on one diagonal without a gap are a run.
-    line = Window.partitionBy(*_PAIR, F.col("dpos") - F.col("ipos")).orderBy("ipos")
-    runs = close.withColumn("run", F.col("ipos") - F.row_number().over(line)).groupBy(*_PAIR, (F.col("dpos") - F.col("ipos")).alias("diagonal"), "run")
-    longest = runs.agg(F.count(F.lit(1)).alias("n")).groupBy(*_PAIR).agg((F.max("n") + window - 1).alias("run_tokens"))
-    judged = _null_safe(counted, longest, _PAIR).withColumn("coverage", F.col("matched") / F.col("n_windows"))
-    judged = cut_lineage(judged.filter((F.col("coverage") >= share) | (F.col("run_tokens") >= run)), "near-items")
-    checked = _slot_check(docs, items, close, judged, window)
-    out = _null_safe(judged, checked, _PAIR, "left").join(items.select("class", "item_id", "items"), "class")
-    out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0).cast("long"))).withColumn("consistent", F.coalesce("consistent", F.lit(True))).filter("consistent")
+    close = cut_lineage(_null_safe(matches, counted.filter(F.col("matched") >= enough), _PAIR).select(*_PAIR, "dpos", "ipos"), "close-windows")
+    near = cut_lineage(_judged(close, totals, window, share, run), "near-items")
+    # Only what could be an item has its slots compared; what contradicts itself is taken out, and the rest is judged again.
+    placed = cut_lineage(_occurrences(_null_safe(close, near.select(*_PAIR), _PAIR)), "occurrences")
+    checked = cut_lineage(_slot_check(docs, items, placed, window), "checked-slots")
+    wrong = checked.filter("not consistent").select(*_PAIR, "occurrence")
+    agreed = _null_safe(placed, wrong, [*_PAIR, "occurrence"], "left_anti").select(*_PAIR, "dpos", "ipos")
+    slots_of = checked.filter("consistent").groupBy(*_PAIR).agg(F.max("n_slots").alias("n_slots"))
+    judged = _judged(agreed, totals, window, share, run).withColumn("consistent", F.lit(True))
+    out = _null_safe(judged, slots_of, _PAIR, "left").join(items.select("class", "item_id", "items"), "class")
+    out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0).cast("long")))
     closest = F.max(F.struct("coverage", "run_tokens", "matched", "n_windows", "n_slots", "consistent", "items")).alias("c")
     out = out.groupBy("doc_id", "item_id").agg(closest)
     return out.select("doc_id", "item_id", *[f"c.{c}" for c in ("items", "n_windows", "matched", "coverage", "run_tokens", "n_slots", "consistent")])
@@ -143,11 +160,32 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(other, [left[k].eqNullSafe(other[f"_{k}"]) for k in keys], how).drop(*[f"_{k}" for k in keys])
 
 
-def _slot_check(docs: DataFrame, items: DataFrame, matches: DataFrame, judged: DataFrame, window: int) -> DataFrame:
-    """(doc_id, part, class, n_slots, consistent) of those pairs whose matched windows hold slots."""
+def _judged(matches: DataFrame, totals: DataFrame, window: int, share: float, run: int) -> DataFrame:
+    """The pairs whose matched windows cover ``share`` of the item or have ``run`` tokens in a row: (pair, n_windows, matched, coverage, run_tokens)."""
+    counted = matches.groupBy(*_PAIR).agg(F.countDistinct("ipos").alias("matched")).join(totals, "class")
+    # Windows on one diagonal without a gap are a run.
+    line = Window.partitionBy(*_PAIR, F.col("dpos") - F.col("ipos")).orderBy("ipos")
+    runs = matches.withColumn("run", F.col("ipos") - F.row_number().over(line)).groupBy(*_PAIR, (F.col("dpos") - F.col("ipos")).alias("diagonal"), "run")
+    longest = runs.agg(F.count(F.lit(1)).alias("n")).groupBy(*_PAIR).agg(F.max("n").alias("longest"))
+    both = _null_safe(counted, longest, _PAIR).withColumn("coverage", F.col("matched") / F.col("n_windows"))
+    both = both.withColumn("run_tokens", F.least(F.col("longest") + window - 1, F.col("n_tokens").cast("long")))
+    return both.filter((F.col("coverage") >= share) | (F.col("run_tokens") >= run)).select(*_PAIR, "n_windows", "matched", "coverage", "run_tokens")
+
+
+def _occurrences(matches: DataFrame) -> DataFrame:
+    """The matched windows of each pair with the number of their occurrence; a new one begins where diagonals are more than ``SLACK`` apart."""
+    diagonals = matches.select(*_PAIR, (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
+    along = Window.partitionBy(*_PAIR).orderBy("diagonal")
+    begins = (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(along), F.col("diagonal")) > SLACK).cast("int")
+    numbered = diagonals.withColumn("begins", begins).withColumn("occurrence", F.sum("begins").over(along)).drop("begins")
+    return _null_safe(matches.withColumn("diagonal", F.col("dpos") - F.col("ipos")), numbered, [*_PAIR, "diagonal"]).drop("diagonal")
+
+
+def _slot_check(docs: DataFrame, items: DataFrame, matches: DataFrame, window: int) -> DataFrame:
+    """(doc_id, part, class, occurrence, n_slots, consistent) of those occurrences whose matched windows hold slots."""
     asked = items.select("class", F.explode("slots").alias("s")).select("class", F.col("s.pos").alias("ipos"), F.col("s.value").alias("item_value"))
-    wide = _null_safe(matches, judged.select(*_PAIR), _PAIR).select(*_PAIR, F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k"), "dpos", "ipos")
-    wide = wide.select(*_PAIR, (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
+    wide = matches.select(*_PAIR, "occurrence", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k"), "dpos", "ipos")
+    wide = wide.select(*_PAIR, "occurrence", (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
     met = cut_lineage(wide.join(asked, ["class", "ipos"]), "met-slots")
     # Only documents in which a slot was met are read again.
     again = docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
@@ -155,10 +193,10 @@ def _slot_check(docs: DataFrame, items: DataFrame, matches: DataFrame, judged: D
     found = again.select("doc_id", "part", slots(F.col("text")).alias("slots")).select("doc_id", "part", F.explode("slots").alias("s"))
     found = found.select("doc_id", "part", F.col("s.pos").alias("dpos"), F.col("s.value").alias("value")).distinct()
     both = _null_safe(met, found, ["doc_id", "part", "dpos"])
-    per = both.groupBy(*_PAIR).agg(
+    per = both.groupBy(*_PAIR, "occurrence").agg(
         F.countDistinct("item_value").alias("n_slots"), F.countDistinct("value").alias("values"), F.countDistinct("item_value", "value").alias("mappings")
     )
-    return per.select(*_PAIR, "n_slots", ((F.col("mappings") == F.col("n_slots")) & (F.col("mappings") == F.col("values"))).alias("consistent"))
+    return per.select(*_PAIR, "occurrence", "n_slots", ((F.col("mappings") == F.col("n_slots")) & (F.col("mappings") == F.col("values"))).alias("consistent"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -152,6 +152,44 @@ def test_templates_are_matched_and_slots_checked(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_copies_are_judged_one_by_one(spark):
+    first, second = ITEM.replace("Paris", "Rome").replace("9", "31"), ITEM.replace("Paris", "Oslo").replace("9", "47").replace("12", "80")
+    mixed = ITEM.replace("in Paris", "in Rome")
+    short = "What colour is grass?"
+    docs = [
+        (1, f"{first} and then {second}"), (2, f"so: {ITEM} Later: {first}"), (3, f"{mixed} but {second}"), (4, f"{mixed} again {mixed}"), (5, f"They asked this. {short} Nobody knew."),
+        (6, "What colour has grass?"), (7, f"{first} {first} {ITEM}"), (8, mixed.replace("while", "while all that time")), (9, first.replace("while", "while all that time")),
+    ]
+    bench = spark.createDataFrame([(1, ITEM), (2, short)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(out) == {(1, 1), (2, 1), (3, 1), (5, 2), (7, 1), (9, 1)}
+    assert out[(1, 1)]["coverage"] == 1 and out[(1, 1)]["n_slots"] >= 4 and out[(5, 2)]["run_tokens"] == 4
+
+
+def test_variants_of_the_benchmark_are_found_and_clean_texts_left(spark, texts):
+    """Items with other names and numbers, put into clean texts once or twice: at least nine in ten are found."""
+    rng = random.Random(11)
+    names = ["Anna", "Bert", "Clara", "Dora", "Emil", "Frida", "Gustav", "Hanna"]
+    frame = "the {a} of {n} went with {m} to {x} for {k} days and {m} gave {y} of the {b} back to {n} after {k} more {c} in the {d} {e}"
+    nouns = ["boat", "market", "river", "school", "garden", "winter", "letter", "engine", "window", "forest", "harbour", "kitchen"]
+    def item(words):
+        n, m = rng.sample(names, 2)
+        x, y, k = rng.sample(range(2, 900), 3)
+        return frame.format(**dict(zip("abcde", words)), n=n, m=m, x=x, y=y, k=k)
+    kinds = [rng.sample(nouns, 5) for _ in range(30)]
+    bench = spark.createDataFrame([(i, item(w)) for i, w in enumerate(kinds)], "item_id long, text string")
+    clean = [t for t in texts.values() if t and 40 < len(t.split()) < 400][:90]
+    docs, want = [], set()
+    for i, text in enumerate(clean):
+        if i % 3:
+            w, half = i % 30, len(text) // 2
+            text = f"{text[:half]} so {item(kinds[w])} {text[half:]}" + (f" and so {item(kinds[w])}" if i % 2 else "")
+            want.add((i, w))
+        docs.append((i, text))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(got & want) >= 0.9 * len(want) and {d for d, _ in got} <= {d for d, _ in want}
+
+
 def test_template_of_a_text(value):
     got = value(decontamination.template, "He paid $5.50 to Mary Ann for 3 kg of 1,000 pears. Then 7th St")
     n, m, u = decontamination._NAME, decontamination._NUMBER, decontamination._UNIT
