@@ -54,6 +54,7 @@ SITEMAP_FEED_CHILD = r"(?is)<sitemap>\s*<loc>[^<]*/feed/(?:[^<]*)?</loc>.*?</sit
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")
 TEXT_EXTENSIONS = ("html", "htm", "css", "json", "xml", "txt", "md")
 PRUNED_FOLDERS = ("feed", "wp-json")
+HOME_PAGE = "index.html"
 NOT_FOUND_FOLDER = "404_not_found"
 NOT_FOUND_PAGE = "404.html"
 PRESERVED_FILES = ("README.md", ".gitignore", "CNAME")

@@ -7,6 +7,8 @@ rows and come back as one small map per page.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +99,17 @@ def style_font_display(tokens: Column, cfg: SiteConfig) -> Column:
     return F.transform(tokens, lambda t: F.when(wanted(t), font_display(t)).otherwise(t))
 
 
+def is_escaped(text: Column) -> Column:
+    """Whether a text holds escaped markup and no tag of its own."""
+    return text.contains("&lt;") & ~text.contains("<")
+
+
 def unwrap_noscript(tokens: Column, cfg: SiteConfig) -> Column:
-    """Keep what noscript holds, without the element; text that is escaped markup is decoded."""
+    """Keep what noscript holds, without the element; text that is escaped markup, and nothing else, is decoded."""
 
     def of(t: Column) -> Column:
         inner = F.regexp_replace(t, r"(?i)^<noscript\b[^>]*>|</noscript\s*>$", "")
-        shown = F.when(is_blank(inner), "").when(inner.contains("&lt;"), entity_decode(inner)).otherwise(inner)
+        shown = F.when(is_blank(inner), "").when(is_escaped(inner), entity_decode(inner)).otherwise(inner)
         element = F.startswith(t, F.lit("<")) & F.regexp_like(t, F.lit(r"(?i)^</?noscript\b"))
         return F.when(~cfg.col("keep_js") & element, shown).otherwise(t)
 
@@ -365,9 +372,14 @@ def _sheet_hrefs(html: Column) -> Column:
     return F.array_distinct(F.transform(sheets, lambda t: mk.attr(t, "href")))
 
 
+_NOSCRIPT = r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"
+
+
 def _unsized_sources(html: Column) -> Column:
-    """src of the images without both sizes, as it will read after lazy loading and renaming."""
-    lacking = F.filter(mk.tags(html, "img"), lambda t: ~(mk.has_attr(t, "width") & mk.has_attr(t, "height")))
+    """src of the images without both sizes, as it will read after lazy loading, decoding of escaped noscript, and renaming."""
+    escaped = F.filter(F.regexp_extract_all(html, F.lit(_NOSCRIPT), F.lit(1)), is_escaped)
+    hidden = F.flatten(F.transform(escaped, lambda text: mk.tags(entity_decode(text), "img")))
+    lacking = F.filter(F.concat(mk.tags(html, "img"), hidden), lambda t: ~(mk.has_attr(t, "width") & mk.has_attr(t, "height")))
 
     def shown(t: Column) -> Column:
         values = F.array(mk.attr(t, "src"), *[mk.attr(t, name) for name in fv.LAZY_SRC])
@@ -569,25 +581,28 @@ def clean_pages(
     With ``config``, the settings of all sites, pages and stylesheets hold no settings of their own and ``cfg`` reads the table's columns (``SiteConfig.from_columns()``).
     Each step is a column of its own where later expressions use it more than once.
     """
-    rows = with_assets(pages, cfg, stylesheets, dims, config, heavy)
     steps = {
         # White space is closed up within each piece of text as captured: pieces that only come to stand
         # side by side because a script between them goes keep a space each.
-        "_spaced": collapse_space(F.col("html")),
-        "_tokens": scripts_and_styles(mk.tokens(F.col("_spaced")), F.col("styles"), cfg),
+        "_spaced": lambda: collapse_space(F.col("html")),
+        "_tokens": lambda: scripts_and_styles(mk.tokens(F.col("_spaced")), F.col("styles"), cfg),
         # Decoded noscript text may hold tags: cut again before the images are edited.
-        "_again": mk.tokens(F.array_join("_tokens", "")),
-        "_renamed": rename_images(F.col("_again")),
-        "_text": F.array_join(hint_images(F.col("_renamed"), F.col("sizes"), cfg), ""),
-        "_tracked": inject_analytics(F.col("_text"), cfg),
-        "_safe": inject_csp(F.col("_tracked"), cfg),
-        "_loaded": inject_preloads(F.col("_safe"), F.col("html"), cfg),
-        "_chained": rewrite_chain(F.col("_loaded"), cfg),
-        "cleaned": F.concat(without_blank_lines(F.col("_chained")), F.lit("\n")),
+        "_again": lambda: mk.tokens(F.array_join("_tokens", "")),
+        "_renamed": lambda: rename_images(F.col("_again")),
+        "_text": lambda: F.array_join(hint_images(F.col("_renamed"), F.col("sizes"), cfg), ""),
+        "_tracked": lambda: inject_analytics(F.col("_text"), cfg),
+        "_safe": lambda: inject_csp(F.col("_tracked"), cfg),
+        "_loaded": lambda: inject_preloads(F.col("_safe"), F.col("html"), cfg),
+        "_chained": lambda: rewrite_chain(F.col("_loaded"), cfg),
+        "cleaned": lambda: F.concat(without_blank_lines(F.col("_chained")), F.lit("\n")),
     }
+    with ThreadPoolExecutor(1) as beside:
+        # Building the expressions takes the driver seconds, in which the look-ups run.
+        found = beside.submit(with_assets, pages, cfg, stylesheets, dims, config, heavy)
+        named = [step().alias(name) for name, step in steps.items()]
+        rows = found.result()
     # Each selection's later columns read its earlier ones. There are two, since the analyzer resolves nested functions
     # level by level, in a bounded number of rounds for each.
-    named = [step.alias(name) for name, step in steps.items()]
     return rows.select("*", *named[:2]).select("*", *named[2:]).select(*pages.columns, "cleaned")
 
 

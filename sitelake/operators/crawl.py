@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
 from sitelake.functions.urls import is_crawlable, url_parts
-from sitelake.session import BucketedTable, bucketed
+from sitelake.session import BucketedTable, bucketed, cut_lineage
 
 
 def capture_outcome() -> dict[str, Column]:
@@ -52,6 +52,35 @@ def new_urls(found: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the filter that found URLs leave for those seen: 2 MB at most, whatever the number of either.
+FILTER_BITS = 1 << 24
+_BUCKET = 32_768  # bits that Spark's bitmap aggregate holds
+
+
+def possibly_found(found: DataFrame, seen: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(site, url_key) of the seen URLs that may be among the found ones; all that are, and few others while ``found`` is small against ``bits``.
+
+    The found keys set bits in bitmaps of fixed total size, which are broadcast; seen keys without their bit are passed over in place and
+    never shuffled.
+    """
+    place = F.pmod(F.xxhash64("site", "url_key"), F.lit(bits))
+    marks = found.select(place.alias("p")).distinct().groupBy(F.floor(F.col("p") / _BUCKET).alias("bucket"))
+    bitmaps = marks.agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bitmap"))
+    marked = seen.select("site", "url_key", place.alias("p")).withColumn("bucket", F.floor(F.col("p") / _BUCKET))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("p") % _BUCKET / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(byte, cast(p % 8 as int)) & 1") == 1
+    return marked.join(F.broadcast(bitmaps), "bucket").withColumn("byte", byte).filter(is_set).select("site", "url_key")
+
+
+def new_urls_of_many(found: DataFrame, seen: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """As ``new_urls`` for a seen table that is very much larger than what was found: only its possible matches are shuffled.
+
+    The found URLs, distinct and narrow, are written once, as the filter and the join both read them.
+    """
+    fresh = cut_lineage(found.select("site", "url_key", "url").distinct(), "found")
+    return fresh.join(possibly_found(fresh, seen, bits), ["site", "url_key"], "left_anti")
+
+
 def dedupe_captures(captures: DataFrame, order: list[str]) -> DataFrame:
     """The first capture per (site, url_key) in the given total order; narrow columns only.
 

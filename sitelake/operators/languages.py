@@ -20,8 +20,8 @@ def href_refs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(fv.HREF_ATTRIBUTE), F.lit(1))
 
 
-def slug_tally(pages: DataFrame) -> DataFrame:
-    """Occurrences per (site, slug): in hreflang tags and in links. Counts are combined before the shuffle."""
+def slug_tally(pages: DataFrame, *keys: str) -> DataFrame:
+    """Occurrences per (site, slug), and further columns ``keys`` of the pages: in hreflang tags and in links. Counts are combined before the shuffle."""
 
     def slugs(refs: Column, declared: bool) -> Column:
         return F.transform(
@@ -33,8 +33,8 @@ def slug_tally(pages: DataFrame) -> DataFrame:
 
     html = F.col("html")
     refs = F.concat(slugs(hreflang_refs(html), True), slugs(href_refs(html), False))
-    rows = pages.select("site", F.inline(refs)).filter("slug is not null")
-    return rows.groupBy("site", "slug").agg(
+    rows = pages.select("site", *keys, F.inline(refs)).filter("slug is not null")
+    return rows.groupBy("site", *keys, "slug").agg(
         F.count_if("is_declared").alias("declared"), F.count_if(~F.col("is_declared")).alias("links")
     )
 
@@ -49,6 +49,16 @@ def site_languages(pages: DataFrame) -> DataFrame:
     return slugs_of(slug_tally(pages))
 
 
+def home_languages(pages: DataFrame) -> DataFrame:
+    """Languages of each site by its home page alone: (site, slug), from pages (site, page_path, page_id, html).
+
+    Menus and the language switch stand there; two links to ``/de/`` somewhere on a large site make no language. Each capture of
+    the home page is judged by itself.
+    """
+    home = pages.filter(F.col("page_path") == fv.HOME_PAGE)
+    return slugs_of(slug_tally(home, "page_id")).select("site", "slug").distinct()
+
+
 def all_languages(configured: DataFrame, sniffed: DataFrame) -> DataFrame:
     """Configured and sniffed slugs, each once."""
     return configured.select("site", "slug").unionByName(sniffed.select("site", "slug")).distinct()

@@ -54,6 +54,11 @@ INPUTS = {
             '<p>', case when page_id % 8 = 0 then concat('https://admin.', site, '/s') else '' end, '</p>',
             case when page_id % 6 = 0 then '<h1>second</h1>' else '' end, chr(10), chr(10), ' ', chr(13), chr(10), 'end') as body
           from [[untitled]]) t""",
+    # The enriched pages; the first of each site is its home page, and one site in three has links to one language there only once.
+    "homed": """
+        select r.page_id, r.site, case when r.page_id = f.first_id then concat('https://', r.site, '/') else r.url end as url,
+               case when r.page_id = f.first_id and f.first_id % 3 = 0 then replace(r.html, '<a href="/de/">l</a>', '') else r.html end as html
+        from [[rich]] r join (select site, min(page_id) as first_id from [[sited]] group by site) f on f.site = r.site""",
     # Some pages without a title, a language or a main heading.
     "untitled": """
         select page_id, url, site, url_path,

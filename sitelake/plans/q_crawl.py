@@ -64,6 +64,15 @@ def new_urls(source):
     return cr.new_urls(_found(source), seen).select("site", "url", "url_key")
 
 
+@query(
+    f"with {_FOUND}, seen as (select distinct {_BASE} || {d.or_slash('url_path')} as url from [[sited]]) "
+    "select site, url, md5(url) as url_key from found where url not in (select url from seen)"
+)
+def new_urls_of_many(source):
+    seen = with_site(source("pages")).select("site", url_key(F.col("url"), F.col("base")).alias("url_key"), "page_id")
+    return cr.new_urls_of_many(_found(source), seen, 1 << 17).select("site", "url", "url_key")
+
+
 @query(
     f"select site, md5({_BASE} || {d.or_slash('url_path')}) as url_key, min(page_id) as page_id from [[sited]] group by 1, 2"
 )
@@ -129,6 +138,14 @@ def site_languages(source):
     return la.site_languages(source("rich"))
 
 
+_HOME = _TALLY.replace("[[rich]]", "(select h.* from [[homed]] h join (select site, min(page_id) as page_id from [[sited]] group by site) f using (site, page_id)) t")
+
+
+@query(f"with {_HOME} select site, slug from tally where declared > 0 or links >= 2")
+def home_languages(source):
+    return la.home_languages(with_site(source("homed")))
+
+
 @query(f"with {_TALLY} select site, slug from tally where declared > 0 or links >= 2 union select site, 'it' from [[sited]]")
 def slug_union(source):
     configured = source("sited").select("site", F.lit("it").alias("slug"))

@@ -189,37 +189,24 @@ def write_findings(findings: DataFrame, broken: DataFrame, path: str) -> None:
 
 
 def report_lines(findings: DataFrame, broken: DataFrame) -> DataFrame:
-    """The report per site as ordered lines (site, section, line_no, line): header with count, then the entries.
+    """The report per site as ordered lines (site, section, rank, line): header with count, then the entries.
 
-    Counts come from grouped sums; the entries keep their own order columns, so nothing is gathered. Both inputs are
-    written down once, as they are read several times and stand for a pass over all page texts each.
+    Both inputs stand for a pass over all page texts: their lines are written down in one table, which is read for the counts and for
+    the entries. Counts are one row per site; the entries keep their own order columns, so nothing is gathered.
     """
-    findings = cut_lineage(findings.select("site", "code", "page_path", "detail"), "findings")
-    broken = cut_lineage(broken.select("site", "page_path", "ref"), "broken-links")
-    sites = findings.select("site").union(broken.select("site")).distinct()
-
-    def section(rows: DataFrame, number: int, title: str, none: str, line: Column) -> DataFrame:
-        counts = sites.join(rows.groupBy("site").agg(F.count("*").alias("n")), "site", "left")
-        n = F.coalesce("n", F.lit(0))
-        heads = counts.select(
-            "site", F.lit(number).alias("section"), F.lit(0).alias("rank"),
-            F.concat(F.lit(title + " ("), n.cast("string"), F.lit(")")).alias("line"),
-        )
-        empty = counts.filter(n == 0).select(
-            "site", F.lit(number).alias("section"), F.lit(1).alias("rank"), F.lit(none).alias("line")
-        )
-        body = rows.select("site", F.lit(number).alias("section"), F.lit(1).alias("rank"), line.alias("line"))
-        return heads.unionByName(empty).unionByName(body)
-
-    links = section(
-        broken, 1, "BROKEN LINKS", "no internal link is broken",
-        F.concat(F.col("page_path"), F.lit(" -> "), F.col("ref")),
-    )
-    seo = section(
-        findings, 2, "SEO AUDIT", "no SEO finding",
-        F.concat(F.lit("["), F.col("code"), F.lit("] "), F.col("page_path"), F.lit(": "), F.col("detail")),
-    )
-    return links.unionByName(seo)
+    sections = ((1, "BROKEN LINKS", "no internal link is broken"), (2, "SEO AUDIT", "no SEO finding"))
+    links = broken.select("site", F.lit(1).alias("section"), F.concat("page_path", F.lit(" -> "), "ref").alias("line"))
+    seo = findings.select("site", F.lit(2).alias("section"), F.concat(F.lit("["), "code", F.lit("] "), "page_path", F.lit(": "), "detail").alias("line"))
+    entries = cut_lineage(links.unionByName(seo), "report")
+    counts = entries.groupBy("site").agg(*[F.count_if(F.col("section") == number).alias(f"n{number}") for number, _, _ in sections])
+
+    def row(number: int, rank: int, line: Column) -> Column:
+        return F.struct(F.lit(number).alias("section"), F.lit(rank).alias("rank"), line.alias("line"))
+
+    heads = F.array(*[row(number, 0, F.concat(F.lit(f"{title} ("), F.col(f"n{number}").cast("string"), F.lit(")"))) for number, title, _ in sections])
+    empty = [F.when(F.col(f"n{number}") == 0, row(number, 1, F.lit(none))) for number, _, none in sections]
+    each = F.concat(heads, F.filter(F.array(*empty), lambda r: r.isNotNull()))
+    return counts.select("site", F.inline(each)).unionByName(entries.select("site", "section", F.lit(1).alias("rank"), "line"))
 
 
 def write_report(lines_: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -18,6 +19,7 @@ from sitelake.functions.urls import url_key
 from sitelake.operators.audit import page_findings
 from sitelake.operators.extract import with_site
 from sitelake.operators.languages import slug_tally, slugs_of
+from sitelake.session import cut_lineage
 from sitelake.sources.tables import PAGES
 
 
@@ -107,25 +109,51 @@ def audit_stream(pages: DataFrame, cfg: SiteConfig, out: str, checkpoint: str) -
     )
 
 
-_TALLY = "site string, slug string, declared bigint, links bigint, batch bigint"
+_TALLY = "site string, slug string, declared bigint, links bigint, batch bigint, bucket int"
+_TALLY_KEY = ["bucket", "site", "slug"]
+#: Buckets of a tally, by site: a batch rewrites the buckets whose sites it holds.
+TALLY_BUCKETS = 64
 
 
-def tally_stream(pages: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Occurrences of language slugs per batch; ``tally_total`` adds them up.
+def _latest(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The totals as the last batch (before a given one) left them in each bucket; only those folders are read."""
+    try:
+        rows = spark.read.schema(_TALLY).parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # The first batch finds no folder yet.
+        rows = spark.createDataFrame([], _TALLY)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    # At most a row a bucket, from the names of the folders.
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["bucket", "batch"])
 
-    Each batch stores its own counts, so a repeated batch replaces and never adds to them.
+
+def store_tally(batch: DataFrame, number: int, out: str, buckets: int = TALLY_BUCKETS) -> None:
+    """Add a batch's occurrences to the totals of the buckets it touches, as a new version of these buckets under the batch's number.
+
+    Earlier versions are read and never changed, so a batch that is run again, after a failure or a restart, starts from the same
+    totals and replaces its own version: each batch counts once.
     """
+    spark = batch.sparkSession
+    fresh = cut_lineage(slug_tally(batch).withColumn("bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int")), "tally")
+    known = _latest(spark, out, number).join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")  # at most a row a bucket
+    columns = [*_TALLY_KEY, "declared", "links"]
+    both = known.select(*columns).unionByName(fresh.select(*columns)).groupBy(*_TALLY_KEY)
+    total = both.agg(F.sum("declared").alias("declared"), F.sum("links").alias("links"))
+    total.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
 
-    def store(batch: DataFrame, number: int) -> None:
-        slug_tally(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+def tally_stream(pages: DataFrame, out: str, checkpoint: str, buckets: int = TALLY_BUCKETS) -> DataStreamWriter:
+    """Running totals of language slugs (see ``store_tally``); ``tally_total`` reads them."""
+    return pages.writeStream.foreachBatch(lambda batch, number: store_tally(batch, number, out, buckets)).option("checkpointLocation", checkpoint)
 
 
 def tally_total(spark: SparkSession, out: str) -> DataFrame:
     """Running totals (site, slug, declared, links) of all batches so far."""
-    rows = spark.read.schema(_TALLY).parquet(out)
-    return rows.groupBy("site", "slug").agg(F.sum("declared").alias("declared"), F.sum("links").alias("links"))
+    return _latest(spark, out).select("site", "slug", "declared", "links")
 
 
 def languages_so_far(spark: SparkSession, out: str) -> DataFrame:

@@ -192,6 +192,16 @@ def test_settings_that_come_late_give_the_same_pages(spark):
         assert Counter(map(tuple, late.collect())) == Counter(map(tuple, early.collect()))
 
 
+def test_images_in_escaped_noscript_get_their_sizes(spark):
+    html = '<body><noscript>&lt;img src="/i/a.png" alt="a"&gt;</noscript><noscript><b>&lt;img src="/i/b.png"&gt;</b></noscript></body>'
+    pages = spark.createDataFrame([("s.com", "p.html", html)], "site string, page_path string, html string")
+    dims = spark.createDataFrame([("s.com", f"i/{n}.png", 4, 5) for n in "ab"], "site string, path string, width int, height int")
+    cfg = SiteConfig(source_host="s.com", inline_css=False)
+    assert [tuple(r) for r in cl.image_dims(pages, dims, cfg).collect()] == [("s.com", "p.html", "/i/a.webp", 4, 5)]
+    out = cl.clean_pages(pages, cfg, None, dims).first()["cleaned"]
+    assert 'src="/i/a.webp" alt="a" width="4" height="5"' in out and '<b>&lt;img src="/i/b.' in out
+
+
 def nodes_of(plan):
     yield plan
     name = plan.nodeName()

@@ -200,6 +200,24 @@ def test_a_failed_walk_leaves_nothing_in_the_catalog(spark, monkeypatch):
     assert {t.name for t in spark.catalog.listTables()} == tables
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18])
+def test_seen_urls_are_filtered_before_the_join(spark, bits):
+    seen = spark.range(50_000).select(F.concat(F.lit("s"), F.col("id") % 7).alias("site"), F.md5(F.col("id").cast("string")).alias("url_key"))
+    found = spark.range(49_000, 51_000, 4).select(F.concat(F.lit("s"), F.col("id") % 7).alias("site"), F.md5(F.col("id").cast("string")).alias("url_key"), F.col("id").cast("string").alias("url"))
+    found = found.unionAll(found)
+    assert rows(cr.new_urls_of_many(found, seen, bits)) == rows(cr.new_urls(found, seen))
+    kept = cr.possibly_found(found, seen, bits)
+    assert kept.join(found, ["site", "url_key"], "left_semi").count() == 250 and kept.count() < 50_000 * 2 * 500 / bits + 350
+    assert cr.new_urls_of_many(found.limit(0), seen).count() == 0 and cr.new_urls_of_many(found, seen.limit(0)).count() == 500
+
+
+def test_home_page_alone_decides_languages(spark):
+    link = '<a href="/{0}/x">x</a>'
+    pages = [("a.com", "index.html", 1, link.format("de") * 2 + link.format("fr")), ("a.com", "p.html", 2, link.format("fr") * 5 + link.format("it") * 2), ("b.com", "p.html", 3, link.format("de") * 2),
+             ("c.com", "index.html", 4, link.format("es")), ("c.com", "index.html", 5, link.format("es"))]
+    assert rows(la.home_languages(spark.createDataFrame(pages, "site string, page_path string, page_id long, html string"))) == [("a.com", "de")]
+
+
 def test_discovery_by_kind(spark):
     captures = spark.createDataFrame(
         [
@@ -581,6 +599,18 @@ def test_audit_and_tally_streams_equal_batch(spark, tmp_path):
     assert rows(sp.tally_total(spark, str(tmp_path / "t"))) == rows(la.slug_tally(with_site(both)))
 
 
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    link = '<a href="/{0}/x">x</a>'
+    def batch(*slugs):
+        return spark.createDataFrame([(s, link.format(x)) for s, x in slugs], "site string, html string")
+    out = str(tmp_path / "t")
+    batches = [batch(("a.com", "de"), ("a.com", "de"), ("b.com", "fr")), batch(("a.com", "it"), ("c.com", "de")), batch(("a.com", "de"))]
+    for number in (0, 0, 1, 1, 2, 1, 2, 2):  # the last ones again, as after a restart
+        sp.store_tally(batches[number], number, out, 4)
+    assert rows(sp.tally_total(spark, out)) == [("a.com", "de", 0, 3), ("a.com", "it", 0, 1), ("b.com", "fr", 0, 1), ("c.com", "de", 0, 1)]
+    assert rows(sp.languages_so_far(spark, out)) == [("a.com", "de")]
+
+
 # --- plans ----------------------------------------------------------------------------------------
 
 
