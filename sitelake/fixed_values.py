@@ -64,6 +64,7 @@ FOLDER_MODE = "40000"
 ROBOTS_HEADER = ("User-agent: *", "Disallow:")
 ADS_TXT_ACCOUNT = "f08c47fec0942fa0"
 EXPORTS_KEPT = 2
+EXPORTS_KEPT_LEAST, EXPORTS_KEPT_MOST = 1, 10
 LOG_LINES = 60
 LOG_LINES_STATUS = 80
 LANGUAGE_MIN_LINKS = 2

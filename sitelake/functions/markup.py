@@ -122,11 +122,6 @@ def new_attribute(name: str, value: Column) -> Column:
     return F.concat(F.lit(f' {name}="'), value, F.lit('"'))
 
 
-def set_attribute(items: Column, name: str, value: Column, when: Column) -> Column:
-    """Append an attribute to a list of attributes, where ``when`` holds."""
-    return F.when(when, F.concat(items, F.array(new_attribute(name, value)))).otherwise(items)
-
-
 # What stands before the head; a head in a comment or a script is none.
 _BEFORE_HEAD = rf"(?is)^(?:[^<]++|{RAW}|<(?!head[\s/>]))*+"
 _HEAD = r"<head(?:>|[\s/][^>]*>)"

@@ -56,9 +56,5 @@ def file_class(path: Column) -> Column:
     )
 
 
-def is_page(path: Column) -> Column:
-    return F.regexp_like(path, F.lit(r"(?i)\.html?$"))
-
-
 def webp_path(path: Column) -> Column:
     return F.regexp_replace(path, fv.IMAGE_EXTENSION_AT_END, ".webp")

@@ -43,17 +43,15 @@ def prune_tree(files: DataFrame, cfg: SiteConfig) -> DataFrame:
 def promote_not_found(files: DataFrame) -> DataFrame:
     """The captured not-found page becomes ``404.html``, over an existing one; its folder goes.
 
-    ``files`` has one row per (site, path). Only the few rows of that name take part in the join.
+    ``files`` has one row per (site, path). The files are read for the rows that stay as they are and for the few that may become the
+    page: of these the captured one wins in each site.
     """
     caught = F.col("path") == f"{fv.NOT_FOUND_FOLDER}/index.html"
-    promoted = files.filter(caught).withColumn("path", F.lit(fv.NOT_FOUND_PAGE))
-    others = files.filter(~F.startswith("path", F.lit(f"{fv.NOT_FOUND_FOLDER}/")))
-    old = others.filter(F.col("path") == fv.NOT_FOUND_PAGE).join(promoted.select("site"), "site", "left_anti")
-    return (
-        others.filter(F.col("path") != fv.NOT_FOUND_PAGE)
-        .unionByName(old.select(*files.columns))
-        .unionByName(promoted)
-    )
+    others = files.filter(~F.startswith("path", F.lit(f"{fv.NOT_FOUND_FOLDER}/")) & (F.col("path") != fv.NOT_FOUND_PAGE))
+    named = files.filter(F.col("path").isin(f"{fv.NOT_FOUND_FOLDER}/index.html", fv.NOT_FOUND_PAGE))
+    columns = [F.lit(fv.NOT_FOUND_PAGE).alias(c) if c == "path" else F.col(c) for c in files.columns]
+    winner = F.max_by(F.struct(*columns), caught.cast("int")).alias("page")
+    return others.unionByName(named.groupBy("site").agg(winner).select("page.*"))
 
 
 def missing_ads_txt(config: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
+from sitelake.config import with_config
 
 
 def run_time(run_id: str) -> Column:
@@ -30,6 +31,23 @@ def retain_newest(runs: DataFrame, keep: int = fv.EXPORTS_KEPT) -> DataFrame:
     return runs.join(kept, ["site", "run_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
 
+def retain_configured(runs: DataFrame, config: DataFrame) -> DataFrame:
+    """As ``retain_newest``, where each site's setting ``keep_exports``, held to its bounds, says how many runs stay.
+
+    The rank is cut to the largest number allowed, so a site's settings meet only few of its runs.
+    """
+    newest = Window.partitionBy("site").orderBy(F.desc("run_id"))
+    ranked = runs.select("site", "run_id").withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= fv.EXPORTS_KEPT_MOST)
+    allowed = F.greatest(F.lit(fv.EXPORTS_KEPT_LEAST), F.least(F.lit(fv.EXPORTS_KEPT_MOST), F.col("keep_exports")))
+    kept = with_config(ranked, config).filter(F.col("rank") <= allowed).select("site", "run_id", F.lit(True).alias("keep"))
+    return runs.join(kept, ["site", "run_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+
+
+def status_tail(logs: DataFrame) -> DataFrame:
+    """What a status view shows of each run's log."""
+    return log_tail(logs, fv.LOG_LINES_STATUS)
+
+
 def log_tail(logs: DataFrame, n: int = fv.LOG_LINES) -> DataFrame:
     """The last ``n`` lines of each run; (run_id, line, ...), to be read in line order."""
     latest = Window.partitionBy("run_id").orderBy(F.desc("line"))

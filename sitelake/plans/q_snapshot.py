@@ -262,6 +262,20 @@ def retain_newest(source):
     return ru.retain_newest(source("runs").select("site", "run_id"))
 
 
+@query(
+    "select run_id, site, row_number() over (partition by site order by run_id desc) <= greatest(1, least(10, cast(substr(site, 5) as int) % 13)) as keep from [[runs]]"
+)
+def retain_configured(source):
+    runs = source("runs").select("run_id", "site")
+    config = runs.select("site", (F.substring("site", 5, 9).cast("int") % 13).alias("keep_exports")).distinct()
+    return ru.retain_configured(runs, config).select("run_id", "site", "keep")
+
+
+@query("select run_id, line, level, message from (select *, row_number() over (partition by run_id order by line desc) as back from [[logs]]) t where back <= 80")
+def status_tail(source):
+    return ru.status_tail(source("logs").select("run_id", "line", "level", "message"))
+
+
 @query("select run_id, line, level, message from (select *, row_number() over (partition by run_id order by line desc) as back from [[logs]]) t where back <= 5")
 def log_tail(source):
     return ru.log_tail(source("logs").select("run_id", "line", "level", "message"), 5)

@@ -538,6 +538,9 @@ def test_retention_and_tails(spark):
     kept = {(r.site, r.run_id) for r in ru.retain_newest(runs, 2).collect() if r.keep}
     assert kept == {("a", "20240105-000000"), ("a", "20240104-000000"), ("b", "20240105-000000"), ("b", "20240104-000000"), ("c", "20240101-000000")}
     assert ru.retain_newest(runs, 2).count() == 11
+    config = spark.createDataFrame([("a", 4), ("b", 0)], "site string, keep_exports int")
+    chosen = [(r.site, r.run_id[7]) for r in ru.retain_configured(runs, config).collect() if r.keep]
+    assert sorted(chosen) == [("a", "2"), ("a", "3"), ("a", "4"), ("a", "5"), ("b", "5"), ("c", "1")]
     plan = ru.log_tail(spark.range(100).select((F.col("id") % 2).alias("run_id"), F.col("id").alias("line")), 3)
     assert rows(plan.select("run_id", "line")) == [(0, 94), (0, 96), (0, 98), (1, 95), (1, 97), (1, 99)]
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
