@@ -107,7 +107,7 @@ def fit_components(fit: DataFrame, k: int = COMPONENTS, guard: int = GUARD, degr
         passes += 1
         return _passed(fit, shift, block) / n
 
-    # The trace is the sum of the variances, from exact whole sums of (n x - S)^2 only where they fit; here centred doubles serve.
+    # The trace is the sum of the variances of the centred rows.
     centred = F.zip_with("x", F.array(*[F.lit(float(s)) for s in shift]), lambda v, s: (v - s) * (v - s))
     trace = fit.agg(F.sum(F.aggregate(centred, F.lit(0.0), lambda a, v: a + v))).first()[0] / n
     wide = min(d, k + guard)
