@@ -227,6 +227,22 @@ def test_page_texts_and_stylesheets_move_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_texts_of_stylesheets_are_never_broadcast(spark):
+    """Bodies made of a short column: Spark takes them for short and would send them to the driver."""
+    pages, sheets, dims, config = site_table(spark)
+    sheets = sheets.withColumn("body", F.concat("body", F.repeat(F.lit(" "), F.length("path"))))
+    cfg = SiteConfig.from_columns()
+    for rows in (
+        cl.inline_css(pages, sheets, cfg, config),
+        cl.inlined_pages(pages, sheets, cfg, config),
+        cl.clean_pages(pages, cfg, sheets, dims, config),
+        cl.inline_css(with_config(pages, config), with_config(sheets, config), cfg),
+    ):
+        nodes = list(nodes_of(rows._jdf.queryExecution().executedPlan()))
+        sent = [{n.output().apply(i).name() for i in range(n.output().length())} for n in nodes if n.nodeName() == "BroadcastExchange"]
+        assert not any(names & {"body", "css", "styles"} for names in sent)
+
+
 # --- pages as found in the wild
 
 
