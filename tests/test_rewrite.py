@@ -96,12 +96,24 @@ def test_font_display(value, css, expected):
         ("a{b:url(../i/x.png)}", "a{b:url(/i/x.png)}"),
         ("url('./y.woff') url(\"/z\") url(#q) url(data:x)", "url('/css/y.woff') url(\"/z\") url(#q) url(data:x)"),
         ("URL( ../../../w )", "URL( /w )"),
+        ("url(a//b/./c/../d) url(..) url(\0../x) $1 url(a..)", "url(/css/a/b/d) url(/) url(/css/\0../x) $1 url(/css/a..)"),
+        ("url(../../a/../b.png) url(./../x/) no url()", "url(/b.png) url(/x) no url()"),
     ],
 )
 def test_css_urls_to_root(value, css, expected):
     assert value(lambda c: rw.css_urls_to_root(c, F.lit("css")), css) == expected
 
 
+def test_css_urls_of_deep_folders_in_linear_time(value):
+    import time
+
+    css = "p{background:url(../i/b.png)}q{x:url(../../../../y)}" * 150_000
+    value(lambda c: rw.css_urls_to_root(c, F.lit("a/./b/c")), "url(x)")
+    start = time.time()
+    assert value(lambda c: rw.css_urls_to_root(c, F.lit("a/./b/c")), css) == "p{background:url(/a/b/i/b.png)}q{x:url(/y)}" * 150_000
+    assert time.time() - start < 30
+
+
 def test_clean_robots(value):
     text = "User-agent: x\r\nDisallow: /\n SITEMAP: http://admin.shop.com/s.xml\r"
     assert value(lambda t: rw.clean_robots(t, MAP), text) == (
