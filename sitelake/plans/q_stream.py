@@ -25,7 +25,8 @@ def _register(name, sql):
 
 
 def _stream(spark, folder):
-    return st.stream_pages(spark, folder, "pages.parquet")
+    # The table is a file or a folder of files; their names are for the reader to choose.
+    return st.stream_pages(spark, f"{folder}/pages.parquet")
 
 
 def _arrivals(spark, folder, parts=4):
@@ -34,7 +35,7 @@ def _arrivals(spark, folder, parts=4):
     least, most = pages.agg(F.min("page_id"), F.max("page_id")).first()
     width = ((most or 0) - (least or 0)) // parts + 1
     part = F.coalesce(F.floor((F.col("page_id") - (least or 0)) / width), F.lit(0))
-    return [pages.filter(part == k).coalesce(1) for k in range(parts)]
+    return [pages.filter(part == k) for k in range(parts)]
 
 
 @_register(
@@ -43,12 +44,10 @@ def _arrivals(spark, folder, parts=4):
 )
 def stream_ingest(spark, folder):
     root = new_folder(spark, "ingest")
-    parts = _arrivals(spark, folder)
-    # Two passes with a restart between them, over two files each, a batch a file.
-    for some in (parts[:2], parts[2:]):
-        for part in some:
-            part.write.mode("append").parquet(f"{root}/pages")
-        st.run_once(st.ingest_new(st.stream_pages(spark, f"{root}/pages", files_per_batch=1), f"{root}/seen", f"{root}/checkpoint"))
+    # A pass and a batch for each part, whose files are as many as tasks wrote them, with a restart between passes.
+    for part in _arrivals(spark, folder):
+        part.write.mode("append").parquet(f"{root}/pages")
+        st.run_once(st.ingest_new(st.stream_pages(spark, f"{root}/pages"), f"{root}/seen", f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/seen").select("site", "url_key", "page_id")
 
 

@@ -602,6 +602,42 @@ def test_audit_and_tally_streams_equal_batch(spark, tmp_path):
     assert rows(sp.tally_total(spark, str(tmp_path / "t"))) == rows(la.slug_tally(with_site(both)))
 
 
+def test_stream_queries_read_a_table_of_many_files(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    pages = spark.createDataFrame([(i, f"https://a.com/{i % 30}?{i}", '<a href="/de/x">x</a>') for i in range(200)], PAGES)
+    pages.repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries()["stream_audit"](spark, str(tmp_path))
+    assert found.filter("code = 'TITLE'").count() == 200
+    assert rows(queries()["stream_links_total"](spark, str(tmp_path)), "site", "slug", "links") == [("a.com", "de", 200)]
+
+
+def test_ingest_writes_arrivals_in_many_tasks(spark, tmp_path, monkeypatch):
+    from sitelake.plans import q_stream
+
+    pages = spark.createDataFrame([(i, f"https://a.com/{i % 30}?{i}", "x") for i in range(200)], PAGES)
+    pages.repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    made = []
+    monkeypatch.setattr(q_stream, "new_folder", lambda spark, name: made.append(str(tmp_path / name)) or made[-1])
+    assert sorted(r[0] for r in rows(q_stream.stream_ingest(spark, str(tmp_path)), "page_id")) == list(range(30))
+    assert len(list((tmp_path / "ingest" / "pages").glob("*.parquet"))) > 4
+
+
+def test_short_rows_are_dealt_out_before_texts_are_made(spark, tmp_path):
+    from sitelake.plans.inputs import load
+
+    spark.createDataFrame([(i, "s", 1, 0.5) for i in range(400)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    pages = spark.createDataFrame([(1, "https://a.com/", "x")], PAGES)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    dealt = load(spark, str(tmp_path), "supplier").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= 4 and max(r["count"] for r in dealt) <= 150
+    # A filter on a text that is made of a row does not run where the file is scanned.
+    long = load(spark, str(tmp_path), "stylesheets").filter(F.octet_length("body") > 15360)
+    assert long.filter("path like 'css/1%'").count() == 100
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("repeat(", 0, plan.index("Repartition")) < plan.index("Repartition") and "repeat(" not in plan[plan.index("Repartition"):]
+
+
 def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
     link = '<a href="/{0}/x">x</a>'
     def batch(*slugs):
