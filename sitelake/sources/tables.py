@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,7 +17,7 @@ from sitelake import fixed_values as fv
 from sitelake.functions.text import entity_decode, lines
 from sitelake.operators.crawl import crawl_reach
 from sitelake.operators.extract import with_site
-from sitelake.session import cut_lineage
+from sitelake.session import cut_lineage, new_folder
 
 PAGES = T.StructType(
     [
@@ -81,7 +83,7 @@ def write_file_tree(files: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+        store, top = _store_of(folder)
         for batch in batches:
             sizes = []
             for row in batch.to_pylist():
@@ -122,16 +124,80 @@ def tree_meta(documents: DataFrame) -> DataFrame:
     )
 
 
+def _first_loc(tag: str) -> Column:
+    return F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>(?:(?!<{tag}[\s>]).)*?<loc>\s*([^<\s]+)\s*</loc>", 1)
+
+
 def _sitemap_rows(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     """(file, loc): the first ``loc`` of every element ``tag`` in the files below a folder, its entities decoded.
 
     A record ends where an element does, so a large file is split between tasks, and no task holds more than an element of it.
     """
     rows = spark.read.option("recursiveFileLookup", True).option("lineSep", f"</{tag}>").text(folder)
-    loc = F.regexp_extract("value", rf"(?s)<{tag}(?:\s[^>]*)?>(?:(?!<{tag}[\s>]).)*?<loc>\s*([^<\s]+)\s*</loc>", 1)
     # Readers name local files with one slash after the scheme or with three.
     file = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/(?!/)", "$1:///")
-    return rows.select(file.alias("file"), loc.alias("loc")).filter("loc <> ''").select("file", entity_decode(F.col("loc")).alias("loc"))
+    return rows.select(file.alias("file"), _first_loc(tag).alias("loc")).filter("loc <> ''").select("file", entity_decode(F.col("loc")).alias("loc"))
+
+
+#: Bytes of a sitemap that a task reads at once.
+_PIECE = 1 << 20
+
+
+def _store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder that tasks reach, and the folder's name in it."""
+    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+
+
+def _elements(pieces: Iterator[bytes], tag: bytes) -> Iterator[bytes]:
+    """What lies between an opening ``tag`` and the next closing one; no more than one element and a piece are held."""
+    rest, begin, end = b"", b"<" + tag, b"</" + tag + b">"
+    for piece in pieces:
+        *whole, rest = (rest + piece).split(end)
+        yield from (part[part.index(begin) :] for part in whole if begin in part)
+        rest = rest[at:] if (at := rest.find(begin)) >= 0 else rest[-len(end) :]
+    if begin in rest:
+        yield rest
+
+
+def _named_locs(names: DataFrame, folder: str) -> DataFrame:
+    """(file, tag, loc) of the files of these names (file) below a folder, as ``_sitemap_rows`` finds them for both tags. Each task opens its files, so no listing passes through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store_of(folder)
+        bare = lambda name: re.sub(r"^[a-z0-9]+:/*", "", unquote(name)).strip("/")
+        inside = f"{bare(folder)}/"
+
+        def place(name: str) -> str | None:
+            """The file in the store, unless it lies elsewhere or Spark's readers would not list it there."""
+            below = bare(name).removeprefix(inside)
+            if not bare(name).startswith(inside) or any(part in ("", "..") or part[0] == "." or (part[0] == "_" and "=" not in part) for part in below.split("/")):
+                return None
+            return f"{top.rstrip('/')}/{below}"
+
+        for batch in batches:
+            found: list[tuple[str, str, bytes]] = []
+            held = 0
+            for name in batch.column("file").to_pylist():
+                at = place(name) if name else None
+                if at is None or store.get_file_info(at).type != fs.FileType.File:
+                    continue
+                for tag in ("sitemap", "url"):
+                    with store.open_input_stream(at) as stream:
+                        for text in _elements(iter(lambda: stream.read(_PIECE), b""), tag.encode()):
+                            found.append((name, tag, text))
+                            held += len(text)
+                            if held > _PIECE:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types, strict=True)], ["file", "tag", "value"])
+                                found, held = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types, strict=True)], ["file", "tag", "value"])
+
+    types = (pa.string(), pa.string(), pa.binary())
+    spark = names.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = names.select("file").repartition(parts).mapInArrow(run, "file string, tag string, value binary").withColumn("value", F.col("value").cast("string"))
+    locs = texts.select("file", "tag", F.when(F.col("tag") == "url", _first_loc("url")).otherwise(_first_loc("sitemap")).alias("loc"))
+    return locs.filter("loc <> ''").select("file", "tag", entity_decode(F.col("loc")).alias("loc"))
 
 
 def read_sitemaps(spark: SparkSession, folder: str, locate: Callable[[Column], Column], roots: DataFrame) -> DataFrame:
@@ -140,7 +206,27 @@ def read_sitemaps(spark: SparkSession, folder: str, locate: Callable[[Column], C
     The folder holds captured sitemap files. An index lists further sitemaps, which may be indexes again: from ``roots`` (file), children are followed until no
     new file is reached; ``locate`` turns an entry's URL into the name of its file, as ``_metadata.file_path`` gives it. Files that lead to one another are
     read once, entries of files that no root leads to are left out. Names of local files begin with ``file:///``. ``depth`` is the least number of indexes above a file.
+
+    A round reads the files that the last one found, by name and in tasks; a list of all files, which Spark's readers gather in the driver, is only made in stores
+    that tasks cannot open by themselves.
     """
+    try:
+        _store_of(folder)
+    except (pa.ArrowException, OSError):
+        return _listed_sitemaps(spark, folder, locate, roots)
+    top, depth = new_folder(spark, "sitemap-entries"), 0
+    new = known = cut_lineage(roots.select("file").distinct(), "sitemap-files")
+    while depth == 0 or not new.isEmpty():
+        _named_locs(new, folder).write.parquet(f"{top}/depth={depth}")
+        rows = spark.read.schema("file string, tag string, loc string").parquet(f"{top}/depth={depth}")
+        children = rows.filter("tag = 'sitemap'").select(locate(F.col("loc")).alias("file")).distinct()
+        new = cut_lineage(children.join(known, "file", "left_anti"), "sitemap-files")
+        known, depth = known.unionByName(new), depth + 1
+    return spark.read.schema("file string, tag string, loc string, depth int").parquet(top).filter("tag = 'url'").select("file", "loc", "depth")
+
+
+def _listed_sitemaps(spark: SparkSession, folder: str, locate: Callable[[Column], Column], roots: DataFrame) -> DataFrame:
+    """As ``read_sitemaps``, over all files that Spark's readers list below the folder."""
     children = _sitemap_rows(spark, folder, "sitemap")
     entries = cut_lineage(_sitemap_rows(spark, folder, "url"), "sitemap-entries")
     edges = children.select(F.lit("").alias("site"), F.col("file").alias("src"), locate(F.col("loc")).alias("dst"))

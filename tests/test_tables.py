@@ -442,6 +442,21 @@ def test_sitemaps_are_followed_through_indexes(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_sitemaps_are_read_by_name_and_not_listed(spark, tmp_path, monkeypatch):
+    top = f"file://{tmp_path}/maps/"
+    (tmp_path / "maps" / "x y").mkdir(parents=True)
+    (tmp_path / "maps" / "root.xml").write_text(f"<sitemapindex><sitemap><loc>x%20y/a.xml</loc></sitemap><sitemap><loc>../out.xml</loc></sitemap><sitemap><loc>_b.xml</loc></sitemap>{' ' * 3_000_000}</sitemapindex>")
+    for name in ("maps/x y/a.xml", "out.xml", "maps/_b.xml"):
+        (tmp_path / name).write_text(f"<urlset><url><loc>{name[-5]}&amp;é</loc></url>{' ' * 2_000_000}<url><loc>2</loc></url></urlset>")
+    roots = spark.createDataFrame([(f"{top}root.xml",), (None,)], "file string")
+    listed = tb._listed_sitemaps(spark, str(tmp_path / "maps"), lambda url: F.concat(F.lit(top), url), roots)
+    expected = [(f"{top}x%20y/a.xml", "2", 1), (f"{top}x%20y/a.xml", "a&é", 1)]
+    assert rows(listed, "file", "loc", "depth") == expected
+    monkeypatch.setattr(tb, "_sitemap_rows", None)
+    for folder in (f"{tmp_path}/maps", f"file://{tmp_path}/maps"):
+        assert rows(tb.read_sitemaps(spark, folder, lambda url: F.concat(F.lit(top), url), roots), "file", "loc", "depth") == expected
+
+
 def test_sites_of_equal_roots_are_not_read(spark, tmp_path):
     local = [(f"s{i}", "a", f"{i}") for i in range(60)] + [("s7", "b", "x")]
     old = [(f"s{i}", "a", f"{i}") for i in range(60)] + [("s7", "c", "y"), ("gone", "z", "1")]
