@@ -25,8 +25,8 @@ def _register(name, sql):
 
 
 def _stream(spark, folder):
-    # The table is a file or a folder of files; their names are for the reader to choose.
-    return st.stream_pages(spark, f"{folder}/pages.parquet")
+    # The table is a file or a folder of files; Spark's stream takes a single file by a pattern only.
+    return st.stream_pages(spark, f"{folder}/page[s].parquet")
 
 
 def _arrivals(spark, folder, parts=4):

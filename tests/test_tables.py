@@ -617,11 +617,14 @@ def test_audit_and_tally_streams_equal_batch(spark, tmp_path):
     assert rows(sp.tally_total(spark, str(tmp_path / "t"))) == rows(la.slug_tally(with_site(both)))
 
 
-def test_stream_queries_read_a_table_of_many_files(spark, tmp_path):
+@pytest.mark.parametrize("single", [False, True])
+def test_stream_queries_read_a_table_of_one_file_or_many(spark, tmp_path, single):
     from __spark_entry__ import queries
 
     pages = spark.createDataFrame([(i, f"https://a.com/{i % 30}?{i}", '<a href="/de/x">x</a>') for i in range(200)], PAGES)
-    pages.repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    pages.repartition(1 if single else 5).write.parquet(str(tmp_path / ("one" if single else "pages.parquet")))
+    for file in (tmp_path / "one").glob("*.parquet"):
+        file.rename(tmp_path / "pages.parquet")
     found = queries()["stream_audit"](spark, str(tmp_path))
     assert found.filter("code = 'TITLE'").count() == 200
     assert rows(queries()["stream_links_total"](spark, str(tmp_path)), "site", "slug", "links") == [("a.com", "de", 200)]
