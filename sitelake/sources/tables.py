@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -59,27 +61,133 @@ def text_lines(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode(lines(F.col(text))).alias("row"))
 
 
+def _task_count(spark: SparkSession) -> int:
+    """Tasks over which names and files are dealt out."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def read_file_tree(spark: SparkSession, folder: str, site: str | None = None) -> DataFrame:
     """All files below a folder as files(site, path, body BINARY, size); without ``site`` the first folder names it.
 
-    Spark's file readers pass over files without a byte.
+    Tasks list the folders and read the files, so neither names nor splits pass through the driver. As with Spark's file readers, which read stores that tasks cannot open by
+    themselves, files without a byte and hidden ones are left out. A folder without a scheme is looked for in the local store first.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = "/" + folder.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    below = files.select(
-        F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"), F.col("content").alias("body"), F.col("length").alias("size")
-    )
+    whole = folder if ":" in folder.split("/")[0] else os.path.abspath(folder)
+    try:
+        store, top = _store_of(whole)
+        listed = store.get_file_info(top).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        listed = False
+    below = _bodies(_listed_by_tasks(spark, whole), whole) if listed else _listed_by_spark(spark, folder)
     if site is not None:
         return below.select(F.lit(site).alias("site"), "path", "body", "size")
     parts = F.split("path", "/", 2)
     return below.select(F.get(parts, F.lit(0)).alias("site"), F.get(parts, F.lit(1)).alias("path"), "body", "size")
 
 
+def _listed_by_spark(spark: SparkSession, folder: str) -> DataFrame:
+    """(path below the folder, body, size) of all files that Spark's reader lists there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = "/" + folder.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
+    return files.select(
+        F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"), F.col("content").alias("body"), F.col("length").alias("size")
+    )
+
+
+def _passed_over(name: str, is_folder: bool) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    if is_folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_")
+
+
+#: Entries of folders after which a task leaves the folders it has found to the next round.
+_LISTED = 1000
+#: Rows of a batch that a task returns at once.
+_ROWS = 10_000
+
+
+def _listed_by_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """(path below the folder, size) of all files there with a byte that Spark's readers do not pass over.
+
+    A round lists the folders that the last one found, dealt out over all tasks; it goes down a level at least, and further while a task has listed little.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store_of(folder)
+        top = top.rstrip("/")
+        rows: list[tuple[str, int | None]] = []
+        seen = 0
+
+        def batch_of(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path for path, _ in rows], pa.string()), pa.array([size for _, size in rows], pa.int64())], ["path", "size"])
+
+        for batch in batches:
+            waiting = deque(batch.column("path").to_pylist())
+            given = len(waiting)
+            while waiting:
+                at = waiting.popleft()
+                given -= 1
+                for info in store.get_file_info(fs.FileSelector(f"{top}/{at}".rstrip("/") or "/")):
+                    is_folder = info.type == fs.FileType.Directory
+                    seen += 1
+                    if _passed_over(info.base_name, is_folder):
+                        continue
+                    path = f"{at}/{info.base_name}" if at else info.base_name
+                    if is_folder and seen < _LISTED:
+                        waiting.append(path)
+                    elif is_folder:
+                        rows.append((path, None))
+                    elif info.type == fs.FileType.File and info.size:
+                        rows.append((path, info.size))
+                # What was given is listed in any case.
+                if given <= 0 and seen >= _LISTED:
+                    rows += [(path, None) for path in waiting]
+                    waiting.clear()
+                while len(rows) >= _ROWS:
+                    yield batch_of(rows[:_ROWS])
+                    rows = rows[_ROWS:]
+        if rows:
+            yield batch_of(rows)
+
+    found, depth = new_folder(spark, "listing"), 0
+    waiting = spark.range(1).select(F.lit("").alias("path"))
+    while depth == 0 or not waiting.isEmpty():
+        waiting.mapInArrow(run, "path string, size long").write.parquet(f"{found}/round={depth}")
+        waiting = spark.read.schema("path string, size long").parquet(f"{found}/round={depth}").filter("size is null").select("path").repartition(_task_count(spark))
+        depth += 1
+    return spark.read.schema("path string, size long, round int").parquet(found).filter("size is not null").select("path", "size")
+
+
+def _bodies(names: DataFrame, folder: str) -> DataFrame:
+    """(path, body, size) of the files (path, size) below a folder, read by all tasks; no more than a file and a piece are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store_of(folder)
+        top = top.rstrip("/")
+        types = (pa.string(), pa.binary(), pa.int64())
+        for batch in batches:
+            found: list[tuple[str, bytes, int]] = []
+            held = 0
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{top}/{path}", compression=None) as stream:
+                    body = stream.read()
+                found.append((path, body, len(body)))
+                held += len(body)
+                if held > _PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types, strict=True)], ["path", "body", "size"])
+                    found, held = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types, strict=True)], ["path", "body", "size"])
+
+    return names.select("path").repartition(_task_count(names.sparkSession)).mapInArrow(run, "path string, body binary, size long")
+
+
 def write_file_tree(files: DataFrame, folder: str) -> DataFrame:
     """Write files (site, path, body as text or BINARY) one by one below a folder that all executors reach, as ``<folder>/<site>/<path>``; (site, path, size) of those written.
 
     For an export that is served as files; tables are stored by ``write_snapshot``. A file is written beside its place and then moved there, so a task that runs
-    again leaves the same files. Paths that lead out of the folder are left out. The result is lazy: files are written as it is read.
+    again leaves the same files. Paths that lead out of the folder are left out. The result is lazy: files are written as it is read, by all tasks, however few hold the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +205,8 @@ def write_file_tree(files: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("path"), pa.array(sizes, pa.int64())], ["site", "path", "size"])
 
     inside = files.filter(~F.concat(F.lit("/"), "site", F.lit("/"), "path", F.lit("/")).contains("/../") & F.col("body").isNotNull())
-    return inside.select("site", "path", F.col("body").cast("binary").alias("body")).mapInArrow(run, "site string, path string, size long")
+    dealt = inside.select("site", "path", F.col("body").cast("binary").alias("body")).repartition(_task_count(files.sparkSession), "site", "path")
+    return dealt.mapInArrow(run, "site string, path string, size long")
 
 
 def tree_entries(documents: DataFrame) -> DataFrame:
@@ -193,9 +302,7 @@ def _named_locs(names: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types, strict=True)], ["file", "tag", "value"])
 
     types = (pa.string(), pa.string(), pa.binary())
-    spark = names.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    texts = names.select("file").repartition(parts).mapInArrow(run, "file string, tag string, value binary").withColumn("value", F.col("value").cast("string"))
+    texts = names.select("file").repartition(_task_count(names.sparkSession)).mapInArrow(run, "file string, tag string, value binary").withColumn("value", F.col("value").cast("string"))
     locs = texts.select("file", "tag", F.when(F.col("tag") == "url", _first_loc("url")).otherwise(_first_loc("sitemap")).alias("loc"))
     return locs.filter("loc <> ''").select("file", "tag", entity_decode(F.col("loc")).alias("loc"))
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import os
 import time
 from collections import defaultdict
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sitelake import fixed_values as fv
@@ -419,6 +421,41 @@ def test_file_tree_round_trip(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_file_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    names = [f"s{i % 3}/d{i % 7}/{i}.html" for i in range(400)] + ["s0/x y/%41+#b.html", "s0/é/_a=b/c", "s0/e.d/.f", "s0/_h/i", "s0/.j/k", "s0/l._COPYING_", "s1/_metadata/m", "s1/_metadata.n", "o", "s2/empty"]
+    for name in names:
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text("" if name == "s2/empty" else f"<{name}>")
+    (tmp_path / "tree" / "s2" / "link").symlink_to(tmp_path / "tree" / "s0" / "x y")
+    (tmp_path / "tree" / "s2" / "gone").symlink_to(tmp_path / "tree" / "nowhere")
+    folder = str(tmp_path / "tree")
+    monkeypatch.setattr(tb, "_LISTED", 0)
+    monkeypatch.setattr(tb, "_ROWS", 3)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        expected = rows(tb._listed_by_spark(spark, folder), "path", "body", "size")
+        assert len(expected) == 405 and {name for name, _, _ in expected} >= {"s0/é/_a=b/c", "s1/_metadata/m", "s2/link/%41+#b.html", "o"}
+        with monkeypatch.context() as only:
+            only.setattr(tb, "_listed_by_spark", None)
+            for top in (folder, f"file://{folder}/", os.path.relpath(folder)):
+                found = tb.read_file_tree(spark, top, "s")
+                assert rows(found, "path", "body", "size") == expected
+            # Tasks do not grow with the files, as splits of Spark's reader do.
+            assert found.rdd.getNumPartitions() == 4
+            assert rows(tb.read_file_tree(spark, folder).filter("site = 'o'"), "site", "path") == [("o", None)]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        tb.read_file_tree(spark, f"{folder}/nowhere")
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path):
+    files = spark.range(200).select(F.lit("a.com").alias("site"), F.col("id").cast("string").alias("path"), F.lit("x").alias("body")).coalesce(1)
+    written = tb.write_file_tree(files, str(tmp_path / "tree"))
+    assert written.rdd.getNumPartitions() == 4 and written.count() == 200
+
+
 def test_sitemaps_are_followed_through_indexes(spark, tmp_path):
     index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>\n {n} </loc><lastmod>x</lastmod></sitemap>" for n in names) + "</sitemapindex>"
     pages = lambda *urls: "<urlset xmlns:image='i'>" + "".join(f"<url><loc>{u}</loc><image:image><image:loc>no</image:loc></image:image></url>" for u in urls) + "</urlset>"
