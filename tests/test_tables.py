@@ -450,10 +450,18 @@ def test_file_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
         tb.read_file_tree(spark, f"{folder}/nowhere")
 
 
-def test_files_are_written_by_all_tasks(spark, tmp_path):
-    files = spark.range(200).select(F.lit("a.com").alias("site"), F.col("id").cast("string").alias("path"), F.lit("x").alias("body")).coalesce(1)
-    written = tb.write_file_tree(files, str(tmp_path / "tree"))
-    assert written.rdd.getNumPartitions() == 4 and written.count() == 200
+def test_file_tree_source_hashes_before_the_join(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    pages = [(i, f"https://s{i % 2}.com/{i}", f"<p>é{i}") for i in range(30)]
+    spark.createDataFrame(pages, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(7, "B#1", "SMALL")], "p_partkey long, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    found = queries()["file_tree_source"](spark, str(tmp_path))
+    expected = [(f"s{i % 2}.com", f"p/{i % 10}/{i}/index.html", html) for i, _, html in pages] + [("shop.example.com", "img/B#1/7.png", "SMALL")]
+    assert rows(found) == sorted((site, path, git_blob(body.encode()), len(body.encode())) for site, path, body in expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The join moves hashes and no bodies.
+    assert 0 <= plan.index("Join") < plan.index("sha1(")
 
 
 def test_sitemaps_are_followed_through_indexes(spark, tmp_path):
