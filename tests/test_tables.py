@@ -732,3 +732,12 @@ def test_the_shared_folder_comes_from_the_session(spark):
 
 def test_fixed_values_are_complete():
     assert len(fv.DENY_PREFIXES) == 8 and len(fv.HOME_SEEDS) == 9
+
+
+def test_few_rows_that_become_long_texts_meet_in_a_task(spark, tmp_path):
+    """A writer of files looks at the bytes it holds every hundred rows or so, so that many texts of megabytes would fill a task's memory."""
+    from sitelake.plans.inputs import load
+
+    spark.range(400).selectExpr("id as s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    dealt = load(spark, str(tmp_path), "supplier").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in dealt) == 400 and max(r["count"] for r in dealt) <= 16
