@@ -243,6 +243,27 @@ def test_texts_of_stylesheets_are_never_broadcast(spark):
         assert not any(names & {"body", "css", "styles"} for names in sent)
 
 
+def test_texts_of_stylesheets_are_made_once(spark):
+    """Those above the limit, too: sizes, names and texts come from one pass."""
+    pages, sheets, dims, config = site_table(spark)
+    cfg = SiteConfig.from_columns()
+    for run in (
+        lambda made: cl.inline_css(pages, made, cfg, config),
+        lambda made: cl.inlined_pages(pages, made, cfg, config),
+        lambda made: cl.clean_pages(pages, cfg, made, dims, config),
+        lambda made: cl.inline_css(with_config(pages, config), with_config(made, config), cfg),
+    ):
+        calls = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def text(body, calls=calls):
+            calls.add(1)
+            return body
+
+        run(sheets.withColumn("body", text("body"))).collect()
+        assert calls.value == sheets.count()
+
+
 # --- pages as found in the wild
 
 
